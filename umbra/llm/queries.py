@@ -23,6 +23,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from umbra.llm.simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"), errors=4, width=4)
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from umbra.llm.embeddings import embedding_components
+
+    return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP3_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+), fine as (
+  select vec_id, e from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs as (
+  select a.vec_id as a, b.vec_id as b from fine a join fine b on a.vec_id < b.vec_id and len(a.e) = len(b.e)
+    and list_cosine_similarity(a.e, b.e) >= 0.95
+), edges as (
+  select a, b from pairs union all select b, a from pairs
+), reach as (
+  select a as node, b as other from edges
+  union select r.node, e.b from reach r join edges e on r.other = e.a
+), low as (
+  select node, least(node, min(other)) as component_id from reach group by node
+), degree as (select a as node, count(*) as n from edges group by a)
+select v.vec_id, coalesce(d.n, 0)::bigint as n_links, coalesce(l.component_id, v.vec_id) as component_id,
+  v.vec_id = coalesce(l.component_id, v.vec_id) as kept
+from v left join low l on l.node = v.vec_id left join degree d on d.node = v.vec_id
+"""
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from umbra.llm.substrings import substring_removals
+
+    return substring_removals(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, parsed back from the formatted strings, digested."""
     from umbra.llm.chat import format_conversations, parse
@@ -95,9 +136,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_substrings": op5_substrings,
+    "op1_simhash": op1_simhash,
+    "op3_embeddings": op3_embeddings,
     "op6_chat": op6_chat,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op6_chat": OP6_SQL}
+ORACLE_SQL = {"op3_embeddings": OP3_SQL, "op6_chat": OP6_SQL}
