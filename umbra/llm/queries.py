@@ -29,6 +29,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), errors=4, width=4)
 
 
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from umbra.llm.contamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8, min_words=5)
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from umbra.llm.embeddings import embedding_components
 
@@ -58,6 +64,50 @@ from v left join low l on l.node = v.vec_id left join degree d on d.node = v.vec
 """
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the counts of all documents, rounded to what both engines agree on."""
+    from umbra.llm.ngram_lm import lm_scores
+
+    scores = lm_scores(_table(spark, sf_dir, "documents"), alpha=0.4, min_count=2)
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+OP4_SQL = r"""
+with words as (
+  select doc_id, row_id, unnest(w) as w, generate_subscripts(w, 1) as i from (
+    select doc_id, doc_id as row_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w
+    from documents)
+), grams as (
+  select row_id, i, w as w3, lag(w) over d as w2, lag(w, 2) over d as w1
+  from words window d as (partition by row_id order by i)
+), c1 as (select w3, count(*) as n from grams group by w3),
+c2 as (select w2, w3, count(*) as n from grams where w2 is not null group by w2, w3),
+c3 as (select w1, w2, w3, count(*) as n from grams where w1 is not null group by w1, w2, w3),
+total as (select count(*) as n from grams),
+scored as (
+  select g.row_id,
+    case when c3.n >= 2 then 3 when c2.n >= 2 then 2 else 1 end as line,
+    case when c3.n >= 2 then ln(c3.n::double / x2.n)
+      when c2.n >= 2 then ln(c2.n::double / x1.n) + case when g.i > 2 then ln(0.4::double) else 0 end
+      else ln(c1.n::double / total.n) + least(g.i - 1, 2) * ln(0.4::double) end as s
+  from grams g cross join total
+  join c1 on c1.w3 = g.w3
+  left join c2 on c2.w2 = g.w2 and c2.w3 = g.w3
+  left join c3 on c3.w1 = g.w1 and c3.w2 = g.w2 and c3.w3 = g.w3
+  left join c1 x1 on x1.w3 = g.w2
+  left join c2 x2 on x2.w2 = g.w1 and x2.w3 = g.w2
+), sums as (
+  select row_id, count(*) as n, count(*) filter (where line = 3) as n3, count(*) filter (where line = 2) as n2,
+    count(*) filter (where line = 1) as n1, sum(s) as s from scored group by row_id
+), docs as (select doc_id, doc_id as row_id from documents)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(n3, 0)::bigint as n_trigram, coalesce(n2, 0)::bigint as n_bigram,
+  coalesce(n1, 0)::bigint as n_unigram, round(coalesce(s, 0), 4) as log_score, round(s / n, 6) as mean_log_score
+from docs d left join sums using (row_id)
+"""
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from umbra.llm.substrings import substring_removals
 
@@ -136,6 +186,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_contamination": op2_contamination,
+    "op4_lm_scores": op4_lm_scores,
     "op5_substrings": op5_substrings,
     "op1_simhash": op1_simhash,
     "op3_embeddings": op3_embeddings,
@@ -144,4 +196,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op3_embeddings": OP3_SQL, "op6_chat": OP6_SQL}
+ORACLE_SQL = {"op4_lm_scores": OP4_SQL, "op3_embeddings": OP3_SQL, "op6_chat": OP6_SQL}
