@@ -13,7 +13,7 @@ from umbra.llm.common import stage_path, stage_table
 CAPACITY = 4096
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -161,13 +161,21 @@ from sized group by conv_id
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from umbra.llm.tokens import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(), limit=2048)
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from umbra.llm.langid import fit, held_out, predict_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_languages(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from umbra.llm.packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), CAPACITY, 1)
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, 1)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +194,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_language": op8_language,
     "op2_contamination": op2_contamination,
     "op4_lm_scores": op4_lm_scores,
     "op5_substrings": op5_substrings,
