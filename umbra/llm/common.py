@@ -83,3 +83,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
+
+
+_SLOT: list = [None, None]
+
+
+def worker_slot(key: object, make):
+    """The one large object that a Python worker keeps between tasks; another key's object is let go first."""
+    if _SLOT[0] != key:
+        _SLOT[0] = _SLOT[1] = None
+        _SLOT[1] = make()
+        _SLOT[0] = key
+    return _SLOT[1]

@@ -17,14 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import slices, text_buffer
+from umbra.llm.common import slices, text_buffer, worker_slot
 
 MAX_WORD = 32
 #: The bounded sample: about so many documents and so many words of each language.
 TRAIN_DOCUMENTS = 400
 TRAIN_WORDS = 12_000
 HIDDEN = 16
-MEMO_WORDS = 900_000
+#: Words that a worker remembers; beyond that only those met in two batches at least stay.
+MEMO_WORDS = 400_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,6 +143,18 @@ class Labeller:
         self.memo: dict[bytes, int] = {b"": 0}
         self.sums = np.zeros((1 << 14, len(self.net.langs)), np.float32)
         self.places = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.uint8)
+
+    def _prune(self) -> None:
+        wanted = self.met[: len(self.memo)] > 1
+        wanted[0] = True
+        kept = np.flatnonzero(wanted)
+        if len(kept) > MEMO_WORDS // 2:
+            self._reset()
+            return
+        number = np.cumsum(wanted) - 1
+        self.memo = {w: int(number[k]) for w, k in self.memo.items() if wanted[k]}
+        self.sums, self.places, self.met = self.sums[kept], self.places[kept], np.ones(len(kept), np.uint8)
 
     def _compute(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         pieces, owner = [], []
@@ -165,17 +178,19 @@ class Labeller:
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS:
-            self._reset()
+            self._prune()
         found = list(map(self.memo.get, words))
         missing = [w for w, k in zip(words, found) if k is None]
         if missing:
             first, n = len(self.memo), len(missing)
             while first + n > len(self.places):
-                self.sums, self.places = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.places, np.zeros_like(self.places)])
+                self.sums, self.places, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.places, self.met))
             self.sums[first : first + n], self.places[first : first + n] = self._compute(missing)
             self.memo.update(zip(missing, range(first, first + n)))
             found = list(map(self.memo.__getitem__, words))
-        return np.fromiter(found, np.int64, len(found))
+        index = np.fromiter(found, np.int64, len(found))
+        self.met[index] = np.minimum(self.met[index], 1) + 1  # a batch asks for a word once
+        return index
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and pooled probability of each text; und and 0 for texts without a letter."""
@@ -202,15 +217,8 @@ class Labeller:
         return [self.net.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.clip(pooled[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def _labeller(net: Network) -> Labeller:
-    key = net.digest()
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(net)
-    return _LABELLERS[key]
+    return worker_slot(("labeller", net.digest()), lambda: Labeller(net))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ragged, shuffle_partitions, slices, stage_path, stage_table, text_buffer
+from umbra.llm.common import ragged, shuffle_partitions, slices, stage_path, stage_table, text_buffer, worker_slot
 
 #: A pre-tokenizer of this form matches no white space and drops what it doesn't match.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Words whose ids a worker remembers; beyond that it starts anew, so memory is bounded.
-MEMO_WORDS = 900_000
+#: Words whose ids a worker remembers; beyond that only those met in two batches at least stay, so memory is bounded.
+MEMO_WORDS = 400_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -94,6 +94,22 @@ class Encoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
         self.n_flat = 0
+        self.met = np.zeros(1 << 14, np.uint8)
+
+    def _prune(self) -> None:
+        keep = np.flatnonzero(self.met[: len(self.memo)] > 1)
+        if not 0 < len(keep) < MEMO_WORDS // 2:
+            self._reset()
+            return
+        wanted = np.zeros(len(self.memo), bool)
+        wanted[keep] = wanted[0] = True
+        kept = np.flatnonzero(wanted)
+        number = np.cumsum(wanted) - 1
+        memo = {w: int(number[k]) for w, k in self.memo.items() if wanted[k]}
+        flat, lens = self.flat[ragged(self.starts[kept], self.lens[kept])], self.lens[kept]
+        self._reset()
+        self.memo, self.flat, self.n_flat = memo, flat, len(flat)
+        self.starts, self.lens, self.met = np.cumsum(lens) - lens, lens, np.ones(len(kept), np.uint8)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         if self.sentencepiece:
@@ -103,7 +119,7 @@ class Encoder:
     def _lookup(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
-            self._reset()
+            self._prune()
             memo = self.memo
         found = list(map(memo.get, words))
         missing = [w for w, k in zip(words, found) if k is None]
@@ -114,7 +130,7 @@ class Encoder:
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lens.sum()))
             first, n = len(memo), len(part)
             while first + n > len(self.starts):
-                self.starts, self.lens = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lens, np.zeros_like(self.lens)])
+                self.starts, self.lens, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.met))
             while self.n_flat + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.n_flat : self.n_flat + len(flat)] = flat
@@ -124,7 +140,9 @@ class Encoder:
             memo.update(zip(part, range(first, first + n)))
         if missing:
             found = list(map(memo.__getitem__, words))
-        return np.fromiter(found, np.int64, len(found))
+        index = np.fromiter(found, np.int64, len(found))
+        self.met[index] = np.minimum(self.met[index], 1) + 1  # a batch asks for a word once
+        return index
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Memo index of every word, and the words' offsets by text."""
@@ -173,15 +191,9 @@ class Encoder:
             yield np.array(self._library([texts[k].as_py()])[0], np.uint32) if k in special else flat[sums[offsets[k]] : sums[offsets[k + 1]]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; its memo outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_slot(("encoder", path), lambda: Encoder(path))
 
 
 def content_digest(text: Column) -> Column:
