@@ -81,7 +81,7 @@ class Rolling:
 def packed_blocks(docs: DataFrame, columns: list[str], block_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
     """Rows (blk, rows array<struct of columns>, lens array<long>, size, payload) placed by blk, and the number
     of blocks. lens has -1 for a null text."""
-    blocks = block_count(docs, block_bytes)
+    blocks = block_count(docs, "text", block_bytes)
     inner = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(columns)])
     schema = T.StructType([T.StructField("blk", T.IntegerType()), T.StructField("rows", T.ArrayType(inner)), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("blk"), "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,15 +43,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for file scans the size of the files. Used to size partitions only."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
+def source_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of the files that df reads; where a source doesn't tell its size, the counted bytes of a column."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 60:
+        return sum(sizes)
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def block_count(df: DataFrame, block_bytes: int = 12 << 20) -> int:
+def block_count(df: DataFrame, column: str, block_bytes: int = 12 << 20) -> int:
     """Blocks of about block_bytes each, and never fewer than the session's shuffle partitions."""
-    return max(shuffle_partitions(df.sparkSession), min(plan_bytes(df) // block_bytes, 1 << 22), 1)
+    return max(shuffle_partitions(df.sparkSession), source_bytes(df, column) // block_bytes, 1)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
