@@ -194,6 +194,8 @@ class Labeller:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and pooled probability of each text; und and 0 for texts without a letter."""
+        if not self.net.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         words = lists.flatten().dictionary_encode()
@@ -204,14 +206,12 @@ class Labeller:
         offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))]).astype(np.int64)
         pooled = np.zeros((len(texts), len(self.net.langs)))
         filled = np.flatnonzero(np.diff(offsets))
-        if len(filled) and len(self.net.langs):
+        if len(filled):
             at = offsets[:-1][filled]
             for k in range(len(self.net.langs)):
                 pooled[filled, k] = np.add.reduceat(self.sums[index, k].astype(np.float64), at)
             pooled[filled] /= np.maximum(np.add.reduceat(self.places[index], at), 1)[:, None]
         letter = np.asarray(pc.match_substring_regex(texts, r"\p{L}"), bool) if len(texts) else np.zeros(0, bool)
-        if not self.net.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
         best = pooled.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
         known = letter & (pooled.sum(axis=1) > 0)
         return [self.net.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.clip(pooled[np.arange(len(texts)), best], 0, 1), 0.0)
