@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _give_memory_back() -> None:
+    """Have large freed arrays go back to the system at once, Arrow's included: Python workers outlive their
+    tasks, and what one operator's worker keeps for later is missing beside the executor's JVM."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows to 32 MB by itself
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except OSError:
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
     sc = spark.sparkContext
@@ -57,7 +73,7 @@ def block_count(df: DataFrame, column: str, block_bytes: int = 12 << 20) -> int:
     return max(shuffle_partitions(df.sparkSession), source_bytes(df, column) // block_bytes, 1)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of one column take about limit bytes; a longer single row stays whole."""
     for batch in batches:
         col = batch.column(column)
