@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.llm.common import block_count
+from umbra.llm.common import block_count, release_slot
 
 ASK = "bucket int, blk int, n int, names binary, counts binary"
 ANSWER = "blk int, bucket int, kind int, n int, answer binary"
@@ -87,6 +87,7 @@ def packed_blocks(docs: DataFrame, columns: list[str], block_bytes: int = 12 <<
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("blk"), "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
 
     def pack(batches):
+        release_slot()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -108,8 +109,9 @@ def packed_blocks(docs: DataFrame, columns: list[str], block_bytes: int = 12 <<
     return keyed.mapInArrow(pack, schema).repartition(blocks, "blk"), blocks
 
 
-def unpacked(table: pa.Table, limit: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+def unpacked(table: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
     """(bytes, offsets, is_null, rows) of runs of documents of about limit bytes; a longer document comes alone."""
+    release_slot()
     for k in range(table.num_rows):
         lens = np.asarray(table["lens"][k].values, np.int64)
         rows = table["rows"][k].values

@@ -115,3 +115,8 @@ def worker_slot(key: object, make):
         _SLOT[1] = make()
         _SLOT[0] = key
     return _SLOT[1]
+
+
+def release_slot() -> None:
+    """Let go what another operator's tasks left in this worker."""
+    _SLOT[0] = _SLOT[1] = None

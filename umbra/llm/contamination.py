@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.blocks import mix
-from umbra.llm.common import slices
+from umbra.llm.common import release_slot, slices
 
 REPETITIONS = 16
 SAMPLED_STEPS = 2
@@ -199,6 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         items = list(zip(rows["item_id"].to_pylist(), normalized(rows["text"].combine_chunks()).to_pylist())) if rows.num_rows else []
 
         def run(batches, items=items):
+            release_slot()
             searcher = Searcher(items, similarity, min_words)
             for batch in slices(batches, "text", 8 << 20):
                 found = searcher.search(batch.column("text"))
@@ -219,6 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         items = list(zip(rows["item_id"].to_pylist(), normalized(rows["text"].combine_chunks()).to_pylist())) if rows.num_rows else []
 
         def run(batches, items=items):
+            release_slot()
             searcher = Searcher(items, similarity, min_words)
             for batch in slices(batches, "text", 8 << 20):
                 keep = np.ones(batch.num_rows, bool)

@@ -25,7 +25,7 @@ TRAIN_DOCUMENTS = 400
 TRAIN_WORDS = 12_000
 HIDDEN = 16
 #: Words that a worker remembers; beyond that only those met in two batches at least stay.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

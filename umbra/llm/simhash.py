@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import shuffle_partitions, slices, stage_table
+from umbra.llm.common import release_slot, shuffle_partitions, slices, stage_table
 from umbra.llm.components import connected_components, forest
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, content (a hash of the text) and fp (64 bits as a signed long) of every row; null text counts as empty."""
 
     def run(batches):
+        release_slot()
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint((t or "").encode(), width) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(fps.view(np.int64))], ["doc_id", "content", "fp"])
@@ -129,6 +130,7 @@ def _arrange(fp: np.ndarray, chosen: tuple[int, ...], blocks: list[tuple[int, in
 def _join_units(batches, choices, blocks, errors):
     """Trie-join the units of a sorted stream, many at a time; emits a spanning forest of each buffer's links."""
     held, size = [], 0
+    release_slot()
 
     def emit(t):
         fp = t["fp"].to_numpy().view(np.uint64)

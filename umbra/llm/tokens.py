@@ -23,7 +23,7 @@ from umbra.llm.common import ragged, shuffle_partitions, slices, stage_path, sta
 #: A pre-tokenizer of this form matches no white space and drops what it doesn't match.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words whose ids a worker remembers; beyond that only those met in two batches at least stay, so memory is bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 def tokenizer_version(path: str) -> str:
