@@ -74,7 +74,7 @@ def _blk(table: pa.Table) -> int:
 def _removals(docs: DataFrame, columns: list[str], length: int, schema: T.StructType, finish) -> DataFrame:
     if length < COVER + 16:
         raise ValueError(f"length must be {COVER + 16} at least")
-    packed, blocks = packed_blocks(docs, columns)
+    packed, blocks = packed_blocks(docs, columns, 5 << 20)
 
     def ask_samples(table: pa.Table) -> pa.Table:
         names, counts = _distinct([_Chunk(d, o, length).sample_names() for d, o, _, _ in unpacked(table)])
