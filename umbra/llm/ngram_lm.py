@@ -61,6 +61,20 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     return [x & keep for x in (one, two, three)], place, before
 
 
+def _names(table: pa.Table) -> np.ndarray:
+    """A block's distinct n-grams."""
+    parts = []
+    for data, offsets, _, _ in unpacked(table, 4 << 20):
+        grams, place, _ = _grams(data, offsets)
+        parts.append(np.unique(np.concatenate([grams[0], grams[1][place > 0], grams[2][place > 1]])))
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = np.concatenate(parts)
+    parts.clear()
+    joined.sort()
+    return joined[np.concatenate([[True], joined[1:] != joined[:-1]])] if len(joined) else joined
+
+
 def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-grams and their counts. Order by order and run by run, so that memory is bounded
     by the distinct ones; shorter n-grams that stand in for longer ones are not counted twice."""
@@ -69,16 +83,17 @@ def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     for data, offsets, _, _ in unpacked(table, 4 << 20):
         grams, place, _ = _grams(data, offsets)
         n, c = np.unique(np.concatenate([grams[0], grams[1][place > 0], grams[2][place > 1]]), return_counts=True)
-        names.append(n), counts.append(c)
+        names.append(n), counts.append(c.astype(np.int32))
     if not names:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(names) == 1:
         return names[0], counts[0]
-    all_names, all_counts = np.concatenate(names), np.concatenate(counts)
+    all_names, all_counts = np.concatenate(names), np.concatenate(counts).astype(np.int32)
+    names.clear(), counts.clear()
     order = np.argsort(all_names, kind="stable")
     s = all_names[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.add.reduceat(all_counts[order], first) if len(first) else np.zeros(0, np.int64)
+    return s[first], np.add.reduceat(all_counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
 def lm_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -100,14 +115,15 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFr
 
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        names, _ = _asked(table) if table.num_rows else (np.zeros(0, np.uint64), None)
-        counts = answered(found, 0, np.uint64).astype(np.float64)
-        logs = np.log(np.maximum(counts, 1))
+        names = _names(table)
+        counts = answered(found, 0, np.uint64)
+        often, logs = counts >= min_count, np.log(np.maximum(counts, 1))
+        del counts
         for data, offsets, _, rows in unpacked(table, 4 << 20) if table.num_rows else ():
             grams, place, before = _grams(data, offsets)
             one, two, three = (np.searchsorted(names, g) for g in grams)
-            tri = (place > 1) & (counts[three] >= min_count) if len(place) else np.zeros(0, bool)
-            bi = ~tri & (place > 0) & (counts[two] >= min_count) if len(place) else np.zeros(0, bool)
+            tri = (place > 1) & often[three] if len(place) else np.zeros(0, bool)
+            bi = ~tri & (place > 0) & often[two] if len(place) else np.zeros(0, bool)
             uni = ~tri & ~bi
             prev_one, prev_two = np.roll(one, 1), np.roll(two, 1)
             value = np.where(tri, logs[three] - logs[prev_two], np.where(bi, logs[two] - logs[prev_one], logs[one])) if len(place) else np.zeros(0)
