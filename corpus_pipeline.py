@@ -9,7 +9,7 @@ from umbra.llm.contamination import drop_contaminated
 from umbra.llm.langid import keep_known_languages
 from umbra.llm.packing import pack_documents
 from umbra.llm.queries import CAPACITY, tokenizer_path
-from umbra.llm.simhash import keep_one_of_each
+from umbra.llm.similar import keep_one_of_similar
 from umbra.llm.substrings import remove_substrings
 
 
@@ -21,10 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 on shingles of five words: the first document of each group stays.
 
-    Six of 64 bits: texts of similarity 0.95 differ in 4.6 bits on average, unrelated ones in 32. A wider radius
-    would reach further towards 0.8 but needs a check of each pair, since it links unrelated texts of a large corpus.
+    Groups are linked by pairs whose sets of shingles are checked to have a Jaccard similarity of 0.8 or more, all of them.
     """
-    return keep_one_of_each(docs, errors=6, width=5)
+    return keep_one_of_similar(docs, width=5)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

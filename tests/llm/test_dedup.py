@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from umbra.llm import embeddings, simhash, substrings
+from umbra.llm import embeddings, simhash, similar, substrings
 from umbra.llm.components import connected_components, forest
 
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -106,6 +106,33 @@ def test_one_of_each_group_stays(spark):
     assert again.count() == 1
 
 
+def test_every_pair_of_similarity_08_is_linked_and_no_other(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{k}" for k in range(3000)]
+    line = " ".join(rng.choice(vocab, 60))
+    texts = [" ".join(rng.choice(vocab, rng.integers(20, 400))) for _ in range(60)]
+    texts += [t + " " + line for t in texts[:20]] + [line] * 2
+    for t in texts[:60]:
+        for rate in (0.005, 0.01, 0.02, 0.03):
+            words = t.split()
+            for _ in range(max(1, round(rate * len(words)))):
+                at, what = rng.integers(len(words)), rng.integers(3)
+                words[at : at + 1] = [["zz"], [words[at], "yy"], []][what]
+            texts.append(" ".join(words))
+    texts += ["", None, "one two", "One  two", "a b c d e"]
+    sets = [set(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for t in texts)]
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    fps = np.array([slow_fingerprint(t, 5) for t in texts], np.uint64)
+    far = near & (np.bitwise_count(fps[:, None] ^ fps[None, :]) > 6)
+    assert np.triu(far, 1).sum() > 50  # what six bits leave in
+    comp = slow_components(near)
+    ids = [k * 3 for k in range(len(texts))]
+    kept = similar.keep_one_of_similar(frame(spark, texts, ids))
+    assert kept.columns == ["doc_id", "text", "source", "n_chars"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({ids[c] for c in comp})
+    assert similar.keep_one_of_similar(frame(spark, [])).count() == 0
+
+
 def slow_removal(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))

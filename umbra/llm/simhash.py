@@ -27,26 +27,38 @@ FRONTIER = 400_000
 LEAF = 48
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the text's word shingles; 0 without words."""
+def shingle_hashes(text: bytes, width: int = 4):
+    """Yield arrays of hashes of the text's word shingles, in order; nothing without words, fewer than width words: one shingle."""
     joined = b" ".join(text.lower().split())
     if not joined:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = len(gaps) + 1
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+        return
     starts = np.concatenate([[0], gaps + 1])[: n - width + 1].tolist()
     ends = np.append(gaps, len(joined))[width - 1 :].tolist()
     count = n - width + 1
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, count, 1 << 16):  # a very long text takes bounded memory
         stop = min(count, at + (1 << 16))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts[at:stop], ends[at:stop])), repeat(42)), np.uint64, stop - at)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts[at:stop], ends[at:stop])), repeat(42)), np.uint64, stop - at)
+
+
+def fingerprint_of(parts) -> int:
+    """SimHash of arrays of shingle hashes; 0 without any."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += len(h)
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of the text's word shingles; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, content (a hash of the text) and fp (64 bits as a signed long) of every row; null text counts as empty."""
 
@@ -228,7 +240,12 @@ def keep_one_of_each(docs: DataFrame, errors: int = 4, width: int = 4) -> DataFr
     It is the row of the smallest doc_id (nulls last); among rows that share it, of the smallest text hash;
     of rows equal in both, any one.
     """
-    same = _rooted(docs, errors, width).groupBy("root", "doc_id", "content").agg(F.count("*").alias("n"))
+    return keep_smallest(docs, _rooted(docs, errors, width))
+
+
+def keep_smallest(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of docs that keep_one_of_each() keeps; rooted: doc_id, content and root of every row."""
+    same = rooted.groupBy("root", "doc_id", "content").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "n")
     kept = stage_table(same.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.content").alias("kept_content"), F.col("k.n").alias("n")), "kept")
     keyed = docs.withColumns({"_key_id": F.col("doc_id").cast("long"), "_key_content": F.xxhash64("text")})
