@@ -132,6 +132,48 @@ def test_decontamination_recall_against_brute_force():
     assert all(found[k] >= want[k] for k in want if k in found)
 
 
+def edit_within(item, text):
+    """Least edit distance of item from any run of words of text."""
+    row = [0] * (len(text) + 1)
+    for k, x in enumerate(item, 1):
+        new = [k]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_passage_distance():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4, (60, 14)), rng.integers(0, 4, (60, 9))
+    want = [edit_within(y, x) for x, y in zip(a.tolist(), b.tolist())]
+    assert contamination.passage_distances(a, b).tolist() == want
+    for x, y, d in zip(a, b, want):
+        edits, first, words = contamination.passage(x, y)
+        assert edits == d == edit(x[first : first + words].tolist(), y.tolist())
+
+
+@pytest.mark.parametrize("what", ["insert", "delete", "mixed"])
+@pytest.mark.parametrize("around", [0, 25])
+def test_decontamination_finds_passages_longer_or_shorter_than_the_item(what, around):
+    rng = np.random.default_rng(6)
+    vocab = [f"w{k}" for k in range(2000)]
+    items = [(k, rng.choice(vocab, m).tolist()) for k, m in enumerate([20] * 40 + [40] * 40)]
+    searcher = contamination.Searcher(items, 0.8, 5)
+    texts = []
+    for _, words in items:
+        w = list(words)
+        for _ in range(len(words) // 5):
+            at, how = rng.integers(1, len(w) - 1), what if what != "mixed" else ["insert", "delete", "change"][rng.integers(3)]
+            w[at : at + 1] = {"insert": [w[at], "yy"], "delete": [], "change": ["zz"]}[how]
+        texts.append([*rng.choice(vocab, around), *w, *rng.choice(vocab, around)])
+    want = {(r, r) for r, (_, w) in enumerate(items) if edit_within(w, texts[r]) <= len(w) // 5}
+    got = searcher.search(pa.array([" ".join(t) for t in texts]))
+    assert len(want) == len(items) and {(r, i) for r, i, *_ in got} <= want
+    assert all(edit(texts[r][f : f + n], items[i][1]) == d <= len(items[i][1]) // 5 for r, i, d, f, n in got)
+    assert len(got) >= 0.95 * len(want), len(got) / len(want)
+
+
 def test_decontamination_cases(spark, monkeypatch):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(1, item, 0), (2, "tiny one", 0), (3, None, 0), (None, item, 0), (4, item.upper(), 0), (5, "", 0)], "item_id long, text string, doc_id int")

@@ -5,12 +5,14 @@ A CGK walk reads a window word by word: at step t it shows the word under its po
 (t, word) says whether the pointer moves on; edit distance becomes Hamming distance between the shown sequences.
 A repetition samples a few steps of a walk, forwards from the window's start or backwards from its end; windows
 and items that show the same words there are candidates. With REPETITIONS repetitions the target recall is
-reached (tests measure it against brute force). Candidates are verified by the exact word edit distance.
+reached (tests measure it against brute force). Candidates are verified by the exact word edit distance, of the
+window or else, as d words inserted or deleted make a passage longer or shorter than m, of the best passage that
+starts or ends within d words of it. Windows may stand out of a document by d words, since it can be shorter than m.
 
-Two gates decide which windows are walked; with d edits allowed, neither loses a window within d of an item.
-It must hold at least m - d words of the benchmark's vocabulary, and it must share a run of q consecutive words
-with an item, displaced by d words at most, where q = ceil((m - d) / (d + 1)): d edits leave m - d words in
-d + 1 runs. Documents are scanned in whole.
+Two gates decide which windows are walked; with d edits allowed, neither loses the windows that start or end with a
+passage within d of an item. They must hold at least m - d words of the benchmark's vocabulary, and share a run of q
+consecutive words with an item, displaced by d words at most, where q = ceil((m - d) / (d + 1)): d edits leave m - d
+words in d + 1 runs. Documents are scanned in whole.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.blocks import mix
-from umbra.llm.common import release_slot, slices
+from umbra.llm.common import ragged, release_slot, slices
 
 REPETITIONS = 16
 SAMPLED_STEPS = 2
 #: Items that one pass searches for; a larger benchmark is searched in as many passes as it takes.
 PASS_ITEMS = 50_000
 PASS_BYTES = 64 << 20
+#: Words and words between documents that are searched at once, beyond which documents are searched in parts.
+SEARCH_WORDS = 3 << 20
 _PUNCTUATION = ".,;:!?\"'()[]{}|<>*_`~#-"
 
 
@@ -58,6 +62,39 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, m]
 
 
+def passage_distances(regions: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The least Levenshtein distance of each row of items from any run of words of the same row of regions."""
+    n, m = items.shape
+    steps = np.arange(m + 1, dtype=np.int16)
+    row = np.broadcast_to(steps, (n, m + 1)).copy()
+    best = row[:, m].copy()
+    for k in range(regions.shape[1]):
+        new = np.zeros_like(row)
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (regions[:, k : k + 1] != items))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        best = np.minimum(best, row[:, m])
+    return best
+
+
+def passage(region: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """(edits, first word, words) of the run of words of region that is nearest to item; the first and shortest of them."""
+    m = len(item)
+    wide = len(region) + 1  # cost and start in one number: of equal costs the latest start
+    steps = np.arange(m + 1, dtype=np.int64) * wide
+    row = steps + len(region)
+    best = (int(row[m]) // wide, 0, 0)
+    for k, word in enumerate(region):
+        new = np.empty_like(row)
+        new[0] = len(region) - (k + 1)
+        new[1:] = np.minimum(row[1:] + wide, row[:-1] + (item != word) * wide)
+        row = np.minimum.accumulate(new - steps) + steps
+        edits, start = divmod(int(row[m]), wide)
+        start = len(region) - start
+        if edits < best[0]:
+            best = (edits, start, k + 1 - start)
+    return best
+
+
 def _runs(words: np.ndarray, q: int) -> np.ndarray:
     """A hash of q words in a row; words has a row for each."""
     key = np.full(words.shape[1], np.uint64(q))
@@ -131,24 +168,44 @@ class Searcher:
         return key
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, edits, first word, words) of the best window of each item in each text."""
+        """(row, item, edits, first word, words) of the best window or passage of each item in each text."""
         lists = normalized(texts)
         flat = lists.flatten()
         if not len(flat) or not self.plans:
             return []
         code = np.asarray(pc.index_in(flat, self.words).fill_null(-1), np.int64) + 1
         offsets = np.asarray(lists.offsets, np.int64)
+        rows = np.flatnonzero(np.diff(offsets) >= min(m - edits for m, edits, *_ in self.plans))
+        gap = 2 * max(edits for _, edits, *_ in self.plans) + 1
+        sizes = np.cumsum(np.diff(offsets)[rows] + gap)
+        out, at = [], 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SEARCH_WORDS, "right")))
+            some = rows[at:stop]
+            at = stop
+            lengths = offsets[some + 1] - offsets[some]
+            begins = np.cumsum(lengths + gap) - lengths
+            spaced = np.zeros(int(begins[-1] + lengths[-1]) + gap, np.int64)
+            spaced[ragged(begins, lengths)] = code[ragged(offsets[some], lengths)]
+            out += [(int(some[r]), *x) for r, *x in self._search(spaced, begins, begins + lengths)]
+        return out
+
+    def _search(self, code: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """search() in documents of code between begins and ends, with unknown words between them."""
         known = np.concatenate([[0], np.cumsum(code > 0)])
-        end = np.repeat(offsets[1:], np.diff(offsets))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for number, centres in self._seeded(code, known).items():
             m, edits, item_ids, codes, tables = self.plans[number]
             starts = np.unique(centres[:, None] + np.arange(-edits, edits + 1))
-            starts = starts[(starts >= 0) & (starts <= len(flat) - m)]
-            starts = starts[(known[starts + m] - known[starts] >= m - edits) & (end[starts] >= starts + m)]
+            starts = starts[(starts >= edits) & (starts <= len(code) - m - edits)]
+            docs = np.maximum(np.searchsorted(begins, starts + m // 2, "right") - 1, 0)
+            over = np.maximum(begins[docs] - starts, 0) + np.maximum(starts + m - ends[docs], 0)  # words outside the document
+            ok = (known[starts + m] - known[starts] >= m - edits) & (over <= edits)
+            starts, docs, over = starts[ok], docs[ok], over[ok]
+            loose: list[np.ndarray] = []
             for at in range(0, len(starts), 1 << 15):
-                part = starts[at : at + (1 << 15)]
-                windows = code[part[:, None] + np.arange(m)]
+                part = np.arange(at, min(at + (1 << 15), len(starts)))
+                windows = code[starts[part][:, None] + np.arange(m)]
                 _, first, same = np.unique((self.codes[windows] * self.powers[:m]).sum(axis=1), return_index=True, return_inverse=True)
                 windows = windows[first]  # windows of equal words are walked and verified once
                 found: list[np.ndarray] = []
@@ -160,18 +217,50 @@ class Searcher:
                     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                     found.append(w * len(codes) + order[k])
                 pairs = np.unique(np.concatenate(found))
+                members = np.argsort(same, kind="stable")
+                bounds = np.searchsorted(same[members], np.arange(len(windows) + 1))
                 for cut in range(0, len(pairs), 1 << 14):
                     w, k = np.divmod(pairs[cut : cut + (1 << 14)], len(codes))
                     d = edit_distances(windows[w], codes[k])
-                    for x in np.flatnonzero(d <= edits):
-                        item = int(item_ids[k[x]])
-                        for start in part[same == w[x]].tolist():
-                            row = int(np.searchsorted(offsets, start, "right")) - 1
-                            new = (int(d[x]), start - int(offsets[row]), m)
-                            if (row, item) not in best or new < best[row, item]:
-                                best[row, item] = new
+                    n = bounds[w + 1] - bounds[w]
+                    of, k, d = part[members[ragged(bounds[w], n)]], np.repeat(k, n), np.repeat(d, n)
+                    tight = (d <= edits) & (over[of] == 0)
+                    for x, i, e in zip(of[tight].tolist(), k[tight].tolist(), d[tight].tolist()):
+                        key, new = (int(docs[x]), int(item_ids[i])), (e, int(starts[x] - begins[docs[x]]), m)
+                        if key not in best or new < best[key]:
+                            best[key] = new
+                    loose.append(np.stack([of[~tight], k[~tight]]))
+            self._passages(code, begins, ends, self.plans[number], starts, docs, np.concatenate(loose, axis=1) if loose else np.zeros((2, 0), np.int64), best)
         return sorted((row, item, *v) for (row, item), v in best.items())
 
+    def _passages(self, code, begins, ends, plan, starts, docs, loose, best) -> None:
+        """Enter into best the items that no window but a longer or shorter passage about a candidate holds: the
+        best window about it where one lies within the edits, else the passage."""
+        m, edits, item_ids, codes, _ = plan
+        fresh: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for cut in range(0, loose.shape[1], 1 << 14):
+            x, k = loose[:, cut : cut + (1 << 14)]
+            open_ = np.array([(a, b) not in best for a, b in zip(docs[x].tolist(), item_ids[k].tolist())], bool)
+            x, k = x[open_], k[open_]
+            regions = code[starts[x][:, None] + np.arange(-edits, m + edits)]
+            # a passage within the edits keeps m - edits words of the item
+            hit = np.flatnonzero((regions > 0).sum(axis=1) >= m - edits)
+            hit = hit[passage_distances(regions[hit], codes[k[hit]]) <= edits]
+            for h in hit.tolist():
+                doc, item = int(docs[x[h]]), codes[k[h]]
+                at = np.arange(max(int(begins[doc]), int(starts[x[h]]) - edits), min(int(ends[doc]) - m, int(starts[x[h]]) + edits) + 1)
+                d = edit_distances(code[at[:, None] + np.arange(m)], np.broadcast_to(item, (len(at), m))) if len(at) else np.zeros(0, np.int16)
+                if len(d) and d.min() <= edits:
+                    new = (int(d.min()), int(at[d.argmin()] - begins[doc]), m)
+                else:
+                    e, first, words = passage(regions[h], item)
+                    new = (e, int(starts[x[h]] - edits + first - begins[doc]), words)
+                key = (doc, int(item_ids[k[h]]))
+                # windows of m words before passages
+                if key not in fresh or (new[2] != m, *new) < (fresh[key][2] != m, *fresh[key]):
+                    fresh[key] = new
+        best.update(fresh)
+
 
 def _passes(benchmark: DataFrame) -> list[DataFrame]:
     """The benchmark, or as many hash parts of it as keep each one below the proven size that a task gets."""
@@ -184,10 +273,11 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
-    """doc_id, item_id, edits, first_word, n_words: the best window of every benchmark item found in a document.
+    """doc_id, item_id, edits, first_word, n_words: the best place of every benchmark item found in a document.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. An item of m words is found where
-    a window of m words lies within floor((1 - similarity) * m) word edits. Items of fewer than min_words words
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. An item of m words is found where any
+    run of words lies within floor((1 - similarity) * m) word edits. Where windows of m words do, the best one and its
+    edits are given, else the best run of other length. Items of fewer than min_words words
     are not searched for, since any text would hold them; items of null id or text are skipped. Items equal in
     text are all reported. Null and empty texts hold nothing. Repeated documents give their rows each. An empty
     table on either side gives no rows. A benchmark above PASS_ITEMS items or PASS_BYTES is searched in passes.
