@@ -2,10 +2,13 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from umbra.llm import embeddings, simhash, similar, substrings
+from umbra.llm import blocks, embeddings, simhash, similar, substrings, suffixes
 from umbra.llm.components import connected_components, forest
 
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -147,7 +150,7 @@ def slow_removal(texts, length):
     return out
 
 
-def test_substrings_against_brute_force(spark):
+def awkward_texts():
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdé \n"), n))
     shared, long_run = word(260), word(199)
@@ -156,15 +159,97 @@ def test_substrings_against_brute_force(spark):
         "x" * 450, "xy" * 120, "", None, "é" * 150, word(900), word(400) + "z" * 205, "z" * 201 + word(9), "z" * 200,
     ]
     texts += [texts[11], texts[11]]
-    ids = [*range(len(texts) - 1), None]
-    want = sorted(((i, *r) for i, r in zip(ids, slow_removal(texts, 200))), key=repr)
-    got = [tuple(r) for r in substrings.substring_removals(frame(spark, texts, ids), 200).collect()]
-    assert sorted(got, key=repr) == want
-    assert substrings.substring_removals(frame(spark, [])).count() == 0
+    edited = [word(500)]
+    for k in range(6):
+        at = int(rng.integers(0, 480))
+        edited.append(edited[-1][:at] + "#" * (k % 3) + edited[-1][at + 1 :])
+    return texts + edited
+
+
+def removed(spark, texts, ids=None, length=200):
+    got = substrings.substring_removals(frame(spark, texts, ids), length).collect()
+    return sorted((tuple(r) for r in got), key=repr)
 
 
-def test_cover_is_perfect_and_removal_keeps_characters(spark):
-    assert sorted({(a - b) % substrings.COVER for a in substrings.MARKS for b in substrings.MARKS}) == list(range(substrings.COVER))
+def expected(texts, ids, length=200):
+    return sorted(((i, *r) for i, r in zip(ids, slow_removal(texts, length))), key=repr)
+
+
+@pytest.mark.parametrize("fan, hot, bundle, chunk", [(256, 20_000, 4 << 20, 1 << 20), (2, 1, 1500, 700), (3, 2, 4000, 1 << 20)])
+def test_substrings_against_brute_force(spark, monkeypatch, fan, hot, bundle, chunk):
+    """Also with so few parts a block that the exchange has several levels, with seeds that count as hot, and with
+    documents longer than a bundle and a chunk."""
+    for name, value in (("FAN", fan), ("HOT", hot), ("BUNDLE", bundle), ("CHUNK", chunk)):
+        monkeypatch.setattr(substrings, name, value)
+    texts = awkward_texts()
+    ids = [*range(len(texts) - 1), None]
+    assert removed(spark, texts, ids) == expected(texts, ids)
+    assert removed(spark, []) == []
+
+
+def test_strings_of_equal_polynomial_hash_stay(spark):
+    """Thue-Morse strings collide under any polynomial hash modulo 2^64; equality goes by bytes here."""
+
+    def thue(n, a, b):
+        return "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+
+    pairs = [(chr(42), chr(64)), (chr(102), chr(89)), (chr(102), chr(75))]
+    for flips in range(8):
+        x = "".join(thue(64, *(p[::-1] if flips >> k & 1 else p)) for k, p in enumerate(pairs)) + "12345678"
+        y = "".join(thue(64, *(p if flips >> k & 1 else p[::-1])) for k, p in enumerate(pairs)) + "12345678"
+        texts = [x, y, x[:199], y[:199]]
+        assert [r[2] for r in removed(spark, texts)] == [0, 0, 0, 0]
+    long = [thue(2048, "a", "b"), thue(2048, "b", "a"), "q" + thue(1024, "a", "b")]
+    assert removed(spark, long) == expected(long, range(3))
+
+
+def test_rows_of_the_exchange_are_in_proportion_to_blocks(spark):
+    kind = blocks.counted(0, lambda n: n, np.int64)
+    rng = np.random.default_rng(2)
+    names = blocks.mix(np.arange(3000, dtype=np.uint64))
+    sent = {k: np.unique(rng.choice(names, 400)) for k in range(70)}
+    rows = [blocks.asked_rows(kind, (n, np.ones(len(n), np.int64)), 0, k, 0, 4, fan=4) for k, n in sent.items()]
+    table = spark.createDataFrame(pa.concat_tables(rows).to_pandas(), blocks.ASKED)
+    assert table.count() <= 4 * len(sent)
+    total = Counter(x for n in sent.values() for x in n.tolist())
+    found = blocks.exchange(table, kind, len(sent), 4).toArrow()
+    assert found.num_rows == table.count()
+    for k, n in sent.items():
+        mine = found.filter(pc.equal(found["src"], k))
+        assert blocks.answers_in_order(mine, kind).tolist() == [total[x] for x in n.tolist()]
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    word = "".join(rng.choice(list("abcdefgh "), 1_500_000))
+    passage = "".join(rng.choice(list("ijkl"), 300))
+    texts = [word[:1_400_000] + "#" + passage + word[1_400_000:] + "%" + passage[:250], passage[5:] + "m" * 199]
+    docs = frame(spark, texts).withColumns({c: F.lit("mine") for c in ("n_bytes", "src", "rows", "payload", "kept_sha256", "c0")})
+    got = [tuple(r) for r in substrings.substring_removals(docs, 200).orderBy("doc_id").collect()]
+    assert [r[:4] for r in got] == [(0, len(texts[0]), 550, 2), (1, len(texts[1]), 295, 1)]
+    assert got[0][4] == hashlib.sha256((word[:1_400_000] + "#" + word[1_400_000:] + "%").encode()).hexdigest()
+    kept = substrings.remove_substrings(docs, 200)
+    assert kept.columns == docs.columns
+    assert {(r["n_bytes"], r["src"]) for r in kept.collect()} == {("mine", "mine")}
+
+
+def test_suffix_order(monkeypatch):
+    rng = np.random.default_rng(1)
+    assert sorted({(a - b) % suffixes.COVER for a in suffixes.MARKS.tolist() for b in suffixes.MARKS.tolist()}) == list(range(suffixes.COVER))
+    for bucket in (1 << 18, 50):
+        monkeypatch.setattr(suffixes, "BUCKET", bucket)
+        for trial in range(20):
+            letters = int(rng.integers(1, 4))
+            texts = [bytes(rng.integers(0, letters, int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(int(rng.integers(0, 8)))]
+            texts += [t[int(rng.integers(0, 50)) :] for t in texts[:3]]
+            texts += [b"ab" * 100, b"ba" * 120, bytes(300)] if trial % 3 == 0 else []
+            got = suffixes.suffix_order(texts)
+            want = sorted((t[k:] for t in texts for k in range(max(0, len(t) - 30))))
+            assert [texts[n][k:] for n, k in got] == want
+            assert len(set(got)) == len(got)
+
+
+def test_removal_keeps_characters(spark):
     shared = "é" * 120
     got = {r["doc_id"]: r for r in substrings.remove_substrings(frame(spark, ["ab" + shared + "c", "q" + shared, None, "kept"]), 200).collect()}
     assert got[0]["text"] == "abc" and got[0]["n_chars"] == 3 and got[1]["text"] == "q" and got[2]["text"] is None and got[3]["text"] == "kept" and got[3]["source"] == "s"

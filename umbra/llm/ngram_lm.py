@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.llm.blocks import ASK, Rolling, answered, answers, ask, mix, packed_blocks, unpacked
-from umbra.llm.common import stage_table
+from umbra.llm.blocks import ASKED, Rolling, answers_in_order, asked_rows, counted, exchange, level0_parts, mix, packed_blocks, unpacked
+from umbra.llm.common import shuffle_partitions, stage_table
 
 #: Names keep 56 bits: among n distinct n-grams, a given one shares its name with a chance of n / 2^56.
 _DROP = 8
@@ -29,6 +29,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of text whose n-grams are handled at a time.
+RUN = 2 << 20
 _TAGS = [np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)]
 
 
@@ -61,39 +63,48 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     return [x & keep for x in (one, two, three)], place, before
 
 
+def _sorted_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """All n-grams of a run, ascending; shorter n-grams that stand in for longer ones are not counted twice."""
+    grams, place, _ = _grams(data, offsets)
+    joined = np.concatenate([grams[0], grams[1][place > 0], grams[2][place > 1]])
+    joined.sort()
+    return joined
+
+
+def _first(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+
+
 def _names(table: pa.Table) -> np.ndarray:
     """A block's distinct n-grams."""
     parts = []
-    for data, offsets, _, _ in unpacked(table, 4 << 20):
-        grams, place, _ = _grams(data, offsets)
-        parts.append(np.unique(np.concatenate([grams[0], grams[1][place > 0], grams[2][place > 1]])))
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = np.concatenate(parts)
+    for data, offsets, _, _ in unpacked(table, RUN):
+        s = _sorted_grams(data, offsets)
+        parts.append(s[_first(s)])
+    joined = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     parts.clear()
     joined.sort()
-    return joined[np.concatenate([[True], joined[1:] != joined[:-1]])] if len(joined) else joined
+    return joined[_first(joined)]
 
 
 def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct n-grams and their counts. Order by order and run by run, so that memory is bounded
-    by the distinct ones; shorter n-grams that stand in for longer ones are not counted twice."""
+    """A block's distinct n-grams and their counts. Run by run, so that memory is bounded by the distinct ones."""
     names: list[np.ndarray] = []
     counts: list[np.ndarray] = []
-    for data, offsets, _, _ in unpacked(table, 4 << 20):
-        grams, place, _ = _grams(data, offsets)
-        n, c = np.unique(np.concatenate([grams[0], grams[1][place > 0], grams[2][place > 1]]), return_counts=True)
-        names.append(n), counts.append(c.astype(np.int32))
-    if not names:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(names) == 1:
-        return names[0], counts[0]
-    all_names, all_counts = np.concatenate(names), np.concatenate(counts).astype(np.int32)
+    for data, offsets, _, _ in unpacked(table, RUN):
+        s = _sorted_grams(data, offsets)
+        first = _first(s)
+        names.append(s[first])
+        counts.append(np.diff(np.append(first, len(s))).astype(np.int32))
+    if len(names) < 2:
+        return (names[0], counts[0]) if names else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    joined, many = np.concatenate(names), np.concatenate(counts)
     names.clear(), counts.clear()
-    order = np.argsort(all_names, kind="stable")
-    s = all_names[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.add.reduceat(all_counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    order = np.argsort(joined)
+    joined = joined[order]
+    first = _first(joined)
+    return joined[first], np.add.reduceat(many[order], first) if len(first) else many
 
 
 def lm_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -105,21 +116,23 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFr
     """
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed, blocks = packed_blocks(cols, ["doc_id"])
+    partitions = min(blocks, 4 * shuffle_partitions(docs.sparkSession))
+    parts = level0_parts(blocks, partitions)
+    kind = counted(_DROP, lambda total: total, np.int64)
 
     def ask_counts(table: pa.Table) -> pa.Table:
-        names, counts = _asked(table)
-        return ask(table["blk"][0].as_py(), names, counts, blocks, _DROP)
+        return asked_rows(kind, _asked(table), 0, table["src"][0].as_py(), 0, parts)
 
-    known = answers(packed.groupBy("blk").applyInArrow(ask_counts, ASK), 0, blocks, _DROP, lambda total: total.astype(np.uint64))
+    known = exchange(packed.groupBy("src").applyInArrow(ask_counts, ASKED), kind, blocks)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_trigram", "n_bigram", "n_unigram")), T.StructField("partial", T.DoubleType())])
 
     def score(table: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         names = _names(table)
-        counts = answered(found, 0, np.uint64)
+        counts = answers_in_order(found, kind)
         often, logs = counts >= min_count, np.log(np.maximum(counts, 1))
         del counts
-        for data, offsets, _, rows in unpacked(table, 4 << 20) if table.num_rows else ():
+        for data, offsets, _, rows in unpacked(table, RUN) if table.num_rows else ():
             grams, place, before = _grams(data, offsets)
             one, two, three = (np.searchsorted(names, g) for g in grams)
             tri = (place > 1) & often[three] if len(place) else np.zeros(0, bool)
@@ -142,7 +155,7 @@ def lm_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFr
         empty = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_trigram": pa.int64(), "n_bigram": pa.int64(), "n_unigram": pa.int64(), "partial": pa.float64()}
         return pa.concat_tables(out) if out else pa.schema(list(empty.items())).empty_table()
 
-    sums = stage_table(packed.groupBy("blk").cogroup(known.repartition(blocks, "blk").groupBy("blk")).applyInArrow(score, schema), "lm-sums")
+    sums = stage_table(packed.groupBy("src").cogroup(known.repartition(partitions, "src").groupBy("src")).applyInArrow(score, schema), "lm-sums")
     total = sums.agg(F.sum("n_words").alias("n")).first()["n"] or 1
     log_score = F.col("partial") - F.col("n_unigram") * F.lit(float(np.log(total)))
     return sums.select("doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))
