@@ -81,7 +81,7 @@ class _Chunk:
         self.begins = np.flatnonzero(fresh)
         run = np.cumsum(fresh)[self.valid] - 1
         self.sizes = np.bincount(run, minlength=len(self.begins))
-        self.keys = self.hashes[self.at[self.begins]]
+        self.keys = mix(self.hashes[self.at[self.begins]] ^ _SECOND)  # the smallest hashes are all small: spread them over buckets
 
     def split(self, hot: np.ndarray) -> None:
         """Runs whose seed is hot (ascending) are cut and keyed by a second seed too."""
