@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,19 @@ def test_info_types(spark):
     assert detect.stored_info_type("p", "n") == "projects/p/storedInfoTypes/n"
 
 
+def test_many_rules_and_long_runs_stay_linear(spark):
+    plan = spark.range(1).select(detect.replace(F.col("id").cast("string"), detect.ALL_RULES))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 6000
+    long = spark.createDataFrame([("a" * 1_000_000 + " x@y.org",), ("ab-" * 300_000 + "@ " + "q.q" * 10,), ("a@" + "b." * 300_000,)], "t string")
+    began = time.monotonic()
+    t = F.col("t")
+    got = long.select(F.length(detect.replace(t, detect.ALL_RULES)), F.length(detect.mask(t, detect.ALL_RULES)), F.size(detect.all_spans(t))).collect()
+    assert [tuple(r) for r in got] == [(1_000_011, 1_000_008, 1), (900_032, 900_032, 0), (600_002, 600_002, 0)]
+    assert time.monotonic() - began < 60
+    many = spark.createDataFrame([(" a@b.co" * 3000,)], "t string").select(detect.mask_spans(t, detect.all_spans(t, [EMAIL])).alias("m")).first()["m"]
+    assert many == " XXXXXX" * 3000
+
+
 PIECES = st.lists(st.sampled_from(["a@b.co", "1.2.3.4", "+1 (555) 123-4567", "4" * 16, "é", " ", "x", "@", "12", "."]), max_size=12)
 
 

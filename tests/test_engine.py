@@ -1,14 +1,18 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from umbra.cli import main
-from umbra.engine import CopyOptions, copy, listing
+from umbra.engine import CopyOptions, copy, listing, redact_files, throttled
+from umbra.functions import detect, throttle
+from umbra.operators import converters, images
+from umbra.operators.converters import Page
 from umbra.operators.providers import RemoteDetector, RuleDetector
 from umbra.plans.planning import Provider, listing_totals
-from umbra.sources import inventory
+from umbra.sources import inventory, sinks
 from umbra.sources.archive import read_zip
 from umbra.sources.tables import parse_csv, serialize_csv
 
@@ -100,9 +104,168 @@ def test_csv():
     assert serialize_csv(["h"], [["a,b"], [None]]) == 'h\n"a,b"\n""\n' and serialize_csv([], [["1"]]) == "1\n"
 
 
+def files(spark, *rows):
+    made = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "relative_path string, content binary")
+    return inventory.with_verdict(made.withColumn("file_size", F.length("content").cast("bigint")).withColumn("media_type", inventory.media.guess(F.col("relative_path"))))
+
+
+def redacted(spark, rows, *detectors, **options):
+    got = redact_files(files(spark, *rows), CopyOptions(detectors=detectors, **options)).collect()
+    return {r["relative_path"]: (r["outcome"], r["content"] and bytes(r["content"]), r["error"], r["n_passes"]) for r in got}
+
+
+def shout(word):
+    def connect():
+        def call(text):
+            if "fail" in text:
+                raise RuntimeError("refused")
+            return text.replace(word, word.upper())
+
+        return call
+
+    return connect
+
+
+def test_csv_goes_through_every_detector(spark):
+    svc = RemoteDetector(Provider("svc", table=True), shout("john"))
+    rows = [("t.csv", b"name,mail\njohn,a@b.org\n"), ("f.csv", b"name,mail\nfail,a@b.org\n"), ("q.csv", b'"a\n'), ("w.csv", b"a,b\n1\n")]
+    got = redacted(spark, rows, RuleDetector(), svc)
+    assert got["t.csv"] == ("Redacted", b"name,mail\nJOHN,[REDACTED]\n", None, 2)
+    assert got["f.csv"] == ("Skipped", None, "refused", 0)
+    assert "CSV" in got["q.csv"][2] and "fields" in got["w.csv"][2] and got["w.csv"][0] == "Skipped"
+    assert redacted(spark, rows[:1], svc)["t.csv"][1] == b"name,mail\nJOHN,a@b.org\n"
+    by_table = RemoteDetector(Provider("svc", table=True), connect_table=lambda: lambda h, r: (h, [[c.title() for c in x] for x in r]))
+    assert redacted(spark, rows[:1], by_table)["t.csv"][1] == b"name,mail\nJohn,A@B.Org\n"
+
+
+def test_csv_a_detector_that_takes_no_tables_fails_the_row(spark):
+    got = redacted(spark, [("t.csv", b"a\nx\n")], RuleDetector(), RemoteDetector(Provider("svc", table=True)))
+    assert got["t.csv"] == ("Skipped", None, "svc takes no tables", 0)
+
+
+def test_csv_keeps_mode_and_deny_list(spark):
+    rows = [("t.csv", b"m,l\na@b.org,DL-12345678\n"), ("t.txt", b"a@b.org,DL-12345678")]
+    got = redacted(spark, rows, RuleDetector(rules=detect.ALL_RULES, mode="mask"))
+    assert got["t.csv"][1] == b"m,l\nXXXXXXX,DL-12345678\n" and got["t.txt"][1] == b"XXXXXXX,DL-12345678"
+    got = redacted(spark, rows, RuleDetector(rules=detect.ALL_RULES, denied=()), csv_synthetic_header=True)
+    assert got["t.csv"][1] == b"m,l\n[REDACTED],[REDACTED]\n"
+    long = b"a\n" + b"x" * 200_000 + b" c@d.org\n"
+    assert redacted(spark, [("l.csv", long)], RuleDetector())["l.csv"][1].endswith(b"x [REDACTED]\n")
+    assert redacted(spark, [("h.csv", b"1,2\n")], RuleDetector(), csv_header=False, csv_synthetic_header=True)["h.csv"][1] == b"Column 0,Column 1\n1,2\n"
+
+
+WHITE = np.full((40, 200, 3), 255, np.uint8)
+
+
+@pytest.fixture
+def plugins():
+    """A recogniser that reads words written into the first row of pixels, and PDFs that are pickled pages."""
+
+    def ocr(pixels):
+        said = bytes(pixels[0, :, 0]).split(b"\0")[0].decode().split(" ")
+        return [(10.0 + 40 * k, 10.0, 30.0 + 40 * k, 20.0, w) for k, w in enumerate(said)]
+
+    def split(data):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return [Page(images.decode_png(bytes.fromhex(x)), 100.0 + k, 50.0) for k, x in enumerate(data.decode().split("\n")[1:])]
+
+    def merge(pages):
+        return ("%PDF " + ",".join(f"{p.width:g}" for p in pages) + "".join("\n" + images.encode_png(p.pixels).hex() for p in pages)).encode()
+
+    converters.install(ocr=ocr, split_pdf=split, merge_pdf=merge)
+    yield
+    converters.install(ocr=None, split_pdf=None, merge_pdf=None)
+
+
+def shot(said):
+    pixels = WHITE.copy()
+    data = said.encode() + b"\0"
+    pixels[0, : len(data), 0] = np.frombuffer(data, np.uint8)
+    return images.encode_png(pixels)
+
+
+def is_black(data, k):
+    return bool((images.decode_png(data)[12:18, 12 + 40 * k : 28 + 40 * k] == 0).all())
+
+
+def test_images_by_ocr(spark, plugins):
+    rows = [("a.png", shot("mail a@b.org now")), ("b.png", b"cut"), ("c.jpg", shot("x")), ("d.txt", b"a@b.org"), ("e.png", shot("fail a@b.org"))]
+    got = redacted(spark, rows, RuleDetector(), RemoteDetector(Provider("svc"), shout("mail")))
+    assert got["a.png"][0] == "Redacted" and [is_black(got["a.png"][1], k) for k in range(3)] == [True, True, False]
+    assert got["b.png"][0] == "Skipped" and "PNG" in got["b.png"][2]
+    assert got["c.jpg"][:3] == ("Skipped", None, "no codec for image/jpeg") and got["e.png"][2] == "refused"
+    assert got["d.txt"] == ("Redacted", b"[REDACTED]", None, 2)
+
+
+def test_images_by_boxes_and_by_service(spark):
+    boxes = RemoteDetector(Provider("open-ai-llm", images=True), shout("x"), connect_boxes=lambda: lambda png: '[{"x1":10,"y1":10,"x2":30,"y2":20}]')
+    got = redacted(spark, [("a.png", shot("x")), ("b.png", b"")], boxes)
+    assert is_black(got["a.png"][1], 0) and not is_black(got["a.png"][1], 1) and got["b.png"][0] == "Skipped"
+    small = RemoteDetector(Provider("gemini-llm", images=True), connect_boxes=lambda: lambda png: "[]", resize=100)
+    assert images.decode_png(redacted(spark, [("a.png", shot("x"))], small)["a.png"][1]).shape == (20, 100, 3)
+    bad = RemoteDetector(Provider("svc", images=True), connect_boxes=lambda: lambda png: '[{"x1":10}]')
+    assert redacted(spark, [("a.png", shot("x"))], bad)["a.png"][2] == "a box lacks a coordinate"
+    whole = RemoteDetector(Provider("svc", images=("image/gif",)), connect_image=lambda: lambda data, mime: data + mime.encode())
+    got = redacted(spark, [("a.gif", b"g"), ("b.png", shot("x"))], whole)
+    assert got["a.gif"][:2] == ("Redacted", b"gimage/gif") and got["b.png"][0] == "Skipped"
+
+
+def test_pdf_pages_in_order(spark, plugins):
+    paper = ("%PDF" + "".join("\n" + shot(s).hex() for s in ("one a@b.org", "two", "three c@d.org"))).encode()
+    got = redacted(spark, [("p.pdf", paper), ("q.pdf", b"none")], RuleDetector())
+    outcome, data, error, passes = got["p.pdf"]
+    assert (outcome, error, passes) == ("Redacted", None, 1) and data.startswith(b"%PDF 100,101,102")
+    pages = [bytes.fromhex(x) for x in data.decode().split("\n")[1:]]
+    assert [[is_black(p, k) for k in (0, 1)] for p in pages] == [[False, True], [False, False], [False, True]]
+    assert got["q.pdf"][0] == "Skipped" and "no PDF" in got["q.pdf"][2]
+    drop = RemoteDetector(Provider("svc", images=True), connect_image=lambda: lambda data, mime: None if b"\xff" * 3 in data[:0] or len(data) % 2 else data)
+    kept = redacted(spark, [("p.pdf", paper)], drop)["p.pdf"]
+    want = [k for k, s in enumerate(("one a@b.org", "two", "three c@d.org")) if len(images.encode_png(images.decode_png(shot(s)))) % 2 == 0]
+    assert kept[0] == "Redacted" and kept[1].split(b"\n")[0] == b"%PDF " + ",".join(str(100 + k) for k in want).encode()
+
+
+def test_limit_is_kept_by_all_tasks_together(spark, tmp_path):
+    limit = throttle.Limit(100, 4)
+    bucket = throttle.Bucket(throttle.parse_limit("15rpm"), 0)
+    assert [bucket.delay(0) for _ in range(17)] == [0] * 15 + [4000, 4266]
+    log = str(tmp_path / "log")
+
+    def note(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds}\n")
+
+    rows = files(spark, *[(f"{k}.txt", b"x") for k in range(12)]).withColumn("n_passes", F.when(F.col("relative_path") < "5", 1).otherwise(0)).coalesce(1)
+    assert throttled(rows, limit, note).count() == 12
+    n = rows.filter("n_passes > 0").count()
+    waits = [float(x) for x in open(log)]
+    # four tasks share the limit: one request at once and then one in 400 ms each
+    assert len(waits) == n - 1 and min(waits) > 0.3
+
+
+def test_clipboard_and_noop(spark, tree, tmp_path):
+    board = inventory.Clipboard("mail a@b.org")
+    assert copy(spark, "clipboard://", f"{tmp_path}/c.txt", CopyOptions(detectors=[RuleDetector()], clipboard=board))["files_redacted"] == 1
+    assert (tmp_path / "c.txt").read_text() == "mail [REDACTED]"
+    assert copy(spark, f"{tree}/a.txt", "clipboard://", CopyOptions(clipboard=board))["files_copied"] == 1
+    assert (board.content, board.media_type) == ("mail a@b.org", "text/plain")
+    for source, dest in (("clipboard://", f"{tmp_path}/d.txt"), ("noop://", f"{tmp_path}/d.txt"), (f"{tree}/a.txt", "noop://")):
+        with pytest.raises(ValueError):
+            copy(spark, source, dest)
+    assert listing(spark, "noop://").count() == 0
+
+
+def test_destinations():
+    assert sinks.arrow_uri("s3a://b/k") == "s3://b/k" and sinks.arrow_uri("hdfs://h/k") == "hdfs://h/k" and sinks.arrow_uri("/x") == "/x"
+    assert sinks.destination("/r/", "a/b") == "/r/a/b" and sinks.destination("/r", "a/b", single=True) == "/r"
+
+
 def test_cli(spark, tree, tmp_path, capsys):
     (tmp_path / "o").mkdir()
     assert main(["cp", f"{tree}/", f"{tmp_path}/o/", "-d", "rules", "-f", "*.txt", "--save-json-results", f"{tmp_path}/r.json", "--limit-dlp-requests", "5rps"]) == 0
     assert json.loads((tmp_path / "r.json").read_text())["files_redacted"] == 2
     assert main(["ls", f"{tree}/"]) == 0 and "5 files found" in capsys.readouterr().out
     assert main(["cp", f"{tree}/", f"{tmp_path}/o/", "-d", "gcp-dlp"]) == 1
+    for ignored in (["-d", "rules", "--open-ai-model", "m"], ["--gcp-region", "r"], ["--limit-dlp-requests", "5rps"], ["-d", "rules", "--gcp-dlp-built-in-info-type", "NONE"], ["-d", "rules", "--gcp-dlp-stored-info-type", "x"]):
+        assert main(["cp", f"{tree}/", f"{tmp_path}/o/", *ignored]) == 1
+    assert main(["cp", f"{tree}/", f"{tmp_path}/o/", "-d", "rules", "--gcp-dlp-built-in-info-type", "US_DRIVER_LICENSE"]) == 0

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from umbra.operators import images
-from umbra.operators.providers import accept_json, boxes_from_json, check_options, detector, text_prompt
+from umbra.operators import converters, images, pictures
+from umbra.operators.providers import accept_json, boxes_from_json, check_options, detector, join_parts, new_separator, strict_boxes, text_prompt
 
 
 def test_png_round_trip():
@@ -23,12 +23,29 @@ def test_blackout_margin_and_edges():
     assert edge[99, 99] and edge.sum() == 1
 
 
+def pictures_of(spark, *rows):
+    return spark.createDataFrame([(n, 0, mime, None, None, bytearray(data), None, boxes) for n, mime, data, boxes in rows], f"{pictures.PICTURES}, boxes array<{images.BOX}>")
+
+
 def test_blackout_of_files(spark):
     png = images.encode_png(np.full((30, 30, 3), 255, np.uint8))
-    rows = [("a.png", "image/png", bytearray(png), [(1.0, 1.0, 5.0, 5.0, "w")]), ("b.jpg", "image/jpeg", bytearray(b"x"), []), ("c.png", "image/png", bytearray(b"x"), None)]
-    got = {r["relative_path"]: r for r in images.black_out_images(spark.createDataFrame(rows, f"relative_path string, mime_type string, content binary, boxes array<{images.BOX}>"), 0.1).collect()}
+    rows = [("a.png", "image/png", png, [(1.0, 1.0, 5.0, 5.0, "w")]), ("b.jpg", "image/jpeg", b"x", []), ("c.png", "image/png", b"x", None)]
+    rows += [(f"cut{n}", "image/png", png[:n], None) for n in (8, 12, 20, 40, len(png) - 20)]
+    got = {r["relative_path"]: r for r in pictures.paint(pictures_of(spark, *rows), converters.installed(), 0.1).collect()}
     assert got["a.png"]["error"] is None and images.decode_png(bytes(got["a.png"]["content"]))[2, 2].sum() == 0
-    assert "no codec" in got["b.jpg"]["error"] and got["c.png"]["content"] is None
+    assert "no codec" in got["b.jpg"]["error"]
+    assert all(got[n]["content"] is None and got[n]["error"] for n in ("c.png", "cut8", "cut12", "cut20", "cut40"))
+
+
+def test_fit():
+    assert converters.fit(np.full((2048, 512, 3), 7, np.uint8)).shape == (1024, 256, 3)
+    assert converters.fit(np.full((10, 20, 3), 9, np.uint8)).shape == (512, 1024, 3)
+    same = np.random.default_rng(0).integers(0, 256, (1024, 3, 3)).astype(np.uint8)
+    assert converters.fit(same) is same
+    flat = converters.fit(np.full((100, 100, 3), 200, np.uint8), 30)
+    assert flat.shape == (30, 30, 3) and (flat == 200).all()
+    ramp = converters.fit(np.repeat(np.arange(0, 200, 2, dtype=np.uint8)[None, :, None], 3, 2).repeat(100, 0), 50)
+    assert (np.diff(ramp[:, :, 0].astype(int), axis=1) >= 0).all() and abs(int(ramp[0, 25, 0]) - 101) < 3
 
 
 def words(spark, said, drop_last=False):
@@ -60,6 +77,14 @@ def test_remote_contracts(spark):
     assert "---7" in text_prompt("hi", "---7")
     with pytest.raises(ValueError):
         text_prompt("a ---7", "---7")
+    assert new_separator("x").startswith("---")
+    assert strict_boxes('[{"x1":1,"y1":2.5,"x2":3,"y2":4,"text":"w"}]') == [(1, 2.5, 3, 4)] and strict_boxes("[]") == []
+    for bad in ("{}", '[{"x1":1}]', '[{"x1":true,"y1":2,"x2":3,"y2":4}]', "[1]", "no"):
+        with pytest.raises(ValueError):
+            strict_boxes(bad)
+    text, error = join_parts(F.col("p"))
+    parts = spark.createDataFrame([(["a", None, "b"],), ([None],), (None,)], "p array<string>").select(text, error).collect()
+    assert [tuple(r) for r in parts] == [("ab", None), (None, "the answer holds no text"), (None, "the answer holds no text")]
     with pytest.raises(ValueError):
         detector("gcp-dlp")
     with pytest.raises(ValueError):

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import media
 from umbra.functions.detect import sample
-from umbra.operators.images import capabilities
-from umbra.operators.providers import Detector, RuleDetector
+from umbra.functions.throttle import Bucket, Limit, share
+from umbra.operators import converters as plugins
+from umbra.operators import pictures
+from umbra.operators.providers import Detector
 from umbra.plans.planning import outcome, redact_plan, run_counters
 from umbra.sources import sinks
 from umbra.sources.archive import write_zip
-from umbra.sources.inventory import decode_text, first_files, list_files, resolve, root_of, scan, with_verdict
-from umbra.sources.tables import read_tables, redact_cells, write_tables
+from umbra.sources.inventory import Clipboard, clipboard_file, decode_text, first_files, list_files, resolve, root_of, scan, with_verdict
+from umbra.sources.tables import read_tables, with_made_headers, write_tables
 
 
 @dataclass(frozen=True)
@@ -30,51 +35,96 @@ class CopyOptions:
     csv_header: bool = True
     csv_sep: str = ","
     sample_chars: int | None = None
+    limit: Limit | None = None
     match_name_again: bool = False
     csv_empty_header: bool = False
     csv_synthetic_header: bool = False
+    clipboard: Clipboard | None = None
+
+
+def throttled(files: DataFrame, limit: Limit, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """files, each with a plan held back until its turn: once a file, not a request. The tasks that can run at a time
+    share the limit, so all of them together keep it."""
+    mine = share(limit, files.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = lambda: time.time_ns() // 1_000_000
+        bucket = Bucket(mine, now())
+        for batch in batches:
+            for k, passes in enumerate(batch.column("n_passes").to_pylist()):
+                if passes and (wait := bucket.delay(now())) > 0:
+                    sleep(wait / 1000)
+                yield batch.slice(k, 1)
+
+    return files.mapInArrow(run, files.schema)
 
 
 def redact_files(files: DataFrame, options: CopyOptions) -> DataFrame:
     """relative_path, media_type, content, outcome, error, n_passes of matched files (with content).
 
-    Text, CSV and opaque types go their own ways and are united again; nothing is shuffled. A file that fails
-    is Skipped with its error; the run goes on.
+    Each kind goes its own way through the detectors of its plan, in their order, and all are united again. A file
+    that fails is Skipped with its error, and so is one that a detector of the plan can't take; the run goes on.
+    n_passes are the detectors that ran over a file.
     """
-    detectors = list(options.detectors or ())
-    able = capabilities()
-    plan = redact_plan(F.col("effective_media_type"), [d.provider for d in detectors], pdf=able["pdf"], ocr=able["ocr"])
-    planned = files.withColumn("plan", plan).withColumn("n_passes", F.size("plan.providers"))
+    detectors, able = list(options.detectors or ()), plugins.installed()
+    plan = redact_plan(F.col("effective_media_type"), [d.provider for d in detectors], pdf=able.has_pdf, ocr=able.ocr is not None)
+    planned = files.withColumn("plan", plan).withColumn("n_passes", F.size("plan.providers")).withColumn("error", F.lit(None).cast("string"))
+    if options.limit is not None and detectors:
+        planned = throttled(planned, options.limit)
     kind = media.media_class(F.col("effective_media_type"))
     planned = planned.withColumn("_kind", F.when(F.col("n_passes") == 0, "none").when((kind == "table") & F.col("plan.table_as_text"), "text").otherwise(kind))
     out_cols = ["relative_path", "media_type", "content", "outcome", "error", "n_passes"]
 
     def finish(df: DataFrame) -> DataFrame:
-        return df.withColumn("outcome", outcome(F.col("verdict"), bool(options.detectors is not None), F.col("n_passes"), F.col("error"), options.allow_unsupported_copies)).select(out_cols)
+        ran = df.withColumn("n_passes", F.when(F.col("error").isNull(), F.col("n_passes")).otherwise(0))
+        kept = F.when(F.col("error").isNull(), F.col("content"))
+        return ran.withColumn("outcome", outcome(F.col("verdict"), options.detectors is not None, F.col("n_passes"), F.col("error"), options.allow_unsupported_copies)).withColumn("content", kept).select(out_cols)
+
+    def joined(part: DataFrame, redacted: DataFrame) -> DataFrame:
+        """part with the content and error that redacted (relative_path, content, error) has for each file."""
+        found = redacted.select("relative_path", F.col("content").alias("_new"), F.col("error").alias("_error"))
+        both = part.drop("content", "error").join(found, "relative_path", "left")
+        lost = F.when(F.col("_new").isNull(), F.coalesce("_error", F.lit("nothing came back")))
+        return finish(both.withColumn("error", F.coalesce("_error", lost)).withColumnRenamed("_new", "content"))
 
-    nothing = F.lit(None).cast("string")
-    raw = finish(planned.filter("_kind = 'none'").withColumn("error", nothing))
     text, bad = decode_text(F.col("content"))
-    texts = planned.filter("_kind = 'text'").withColumns({"_text": text, "error": bad})
+    texts = planned.filter("_kind = 'text'").withColumn("error", bad).withColumn("_text", text)
     if options.sample_chars is not None:
         texts = texts.withColumn("_text", sample(F.col("_text"), options.sample_chars))
-    for d in detectors:
-        if d.provider.text:
-            texts = d.redact(texts, "_text")
-    texts = finish(texts.withColumn("content", F.encode("_text", "UTF-8")))
-    parts = [raw, texts]
-    rule_sets = [d for d in detectors if isinstance(d, RuleDetector)]
-    if rule_sets:
+    for d in (d for d in detectors if d.provider.text):
+        texts = d.redact(texts, "_text")
+    parts = [finish(planned.filter("_kind = 'none'")), finish(texts.withColumn("content", F.encode("_text", "UTF-8")))]
+
+    by_table = [d for d in detectors if d.provider.table]
+    if by_table:
         tables = planned.filter("_kind = 'table'")
         parsed = read_tables(tables, options.csv_sep, options.csv_header)
-        for d in rule_sets:
-            parsed = redact_cells(parsed, d.rules, options.csv_synthetic_header)
-        written = write_tables(parsed, options.csv_sep, options.csv_empty_header).withColumnRenamed("content", "_new")
-        errors = parsed.select("relative_path", F.col("error").alias("_error"))
-        joined = tables.drop("content").join(written, "relative_path", "left").join(errors, "relative_path", "left")
-        parts.append(finish(joined.withColumnsRenamed({"_new": "content", "_error": "error"})))
-    others = planned.filter("_kind not in ('none', 'text'" + (", 'table')" if rule_sets else ")"))
-    parts.append(finish(others.withColumn("error", F.concat(F.lit("no converter here for "), F.col("effective_media_type")))))
+        if options.csv_synthetic_header:
+            parsed = with_made_headers(parsed)
+        for d in by_table:
+            parsed = d.redact_tables(parsed)
+        parts.append(joined(tables, write_tables(parsed, options.csv_sep, options.csv_empty_header)))
+
+    by_text, by_png = [d for d in detectors if d.provider.text], [d for d in detectors if d.provider.takes_png()]
+    if any(d.provider.images for d in detectors) or (able.ocr and by_text):
+        shots = planned.filter("_kind = 'image'")
+        done = []
+        # a type that only some providers take goes through those alone
+        for names in {tuple(d.provider.name for d in detectors if d.provider.images is True or mime in (d.provider.images or ())) for mime in media.IMAGE_TYPES} - {()}:
+            mine = shots.filter(F.concat_ws("\n", "plan.providers") == "\n".join(names)).filter("not plan.apply_ocr")
+            done.append(pictures.redact_by_image(pictures.as_pictures(mine), [d for d in detectors if d.provider.name in names], able))
+        if able.ocr and by_text:
+            done.append(pictures.redact_by_text(pictures.as_pictures(shots.filter("plan.apply_ocr")), by_text, able))
+        parts.append(joined(shots, _union(done)))
+    if able.has_pdf and (by_png or (able.ocr and by_text)):
+        papers = planned.filter("_kind = 'pdf'")
+        pages = pictures.split_pages(papers, able)
+        pages = pictures.redact_by_image(pages, by_png, able) if by_png else pictures.redact_by_text(pages, by_text, able)
+        parts.append(joined(papers, pictures.merge_pages(pages, able)))
+    return _union(parts)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -82,30 +132,40 @@ def redact_files(files: DataFrame, options: CopyOptions) -> DataFrame:
 
 
 def copy(spark: SparkSession, source: str, dest: str, options: CopyOptions = CopyOptions(), report: str | None = None) -> Row:
-    """Copy the files of source to dest, redacting on the way; the run's counters."""
+    """Copy the files of source to dest, redacting on the way; the run's counters.
+
+    A file is read, redacted and written in one pass; nothing is cached. Which files a limit on their number
+    leaves is settled by names alone, before any content is read.
+    """
     kind, where = resolve(source)
     to_kind, to_where = resolve(dest)
-    many = kind == "zip" or root_of(spark, where)[1]
-    to_zip = to_kind == "zip"
-    sinks.check_cardinality(many, to_zip or root_of(spark, to_where)[1])
-    files = with_verdict(scan(spark, source, content=True), options.max_size, options.name_glob, options.mime_override)
+    on_paths = lambda k: k not in ("zip", "clipboard", "noop")
+    many = kind == "zip" or (on_paths(kind) and root_of(spark, where)[1])
+    to_folder = to_kind == "zip" or (on_paths(to_kind) and root_of(spark, to_where)[1])
+    sinks.check_cardinality(many, to_folder)
+    if "noop" in (kind, to_kind):
+        raise ValueError("noop can neither be read from nor written to")
+    found = clipboard_file(spark, options.clipboard) if kind == "clipboard" else scan(spark, source, content=True)
+    files = with_verdict(found, options.max_size, options.name_glob, options.mime_override)
     if options.match_name_again and options.name_glob:
         files = files.withColumn("verdict", F.when(media.matches_glob(media.filename(F.col("relative_path")), options.name_glob), F.col("verdict")).otherwise("SkippedDueToName"))
     matched = files.filter("verdict = 'Matched'")
-    if many:
-        matched = first_files(matched, options.max_files)
+    if many and options.max_files is not None:
+        names = first_files(matched.select("relative_path"), options.max_files)
+        matched = matched.join(names, "relative_path", "left_semi").select(matched.columns)
     skipped = files.drop("content").filter("verdict <> 'Matched'").count()
-    single = not many and not to_zip and not root_of(spark, to_where)[1]
-    done = redact_files(matched, options).persist()
-    try:
-        written = done.filter(F.col("outcome") != "Skipped")
-        if to_zip:
-            write_zip(written, to_where)
-        else:
-            sinks.write_files(written, to_where, single)
-        counters = run_counters(done).withColumn("files_skipped", F.col("files_skipped") + skipped).first()
-    finally:
-        done.unpersist()
+    done = redact_files(matched, options)
+    if to_kind == "zip":
+        outcomes = write_zip(done, to_where)
+    elif to_kind == "clipboard":
+        outcomes = (options.clipboard or Clipboard()).take(done.first())
+    else:
+        outcomes = None
+        counters = run_counters(sinks.write_files(done, to_where, not to_folder)).first()
+    if outcomes is not None:
+        n = Counter(outcomes)
+        counters = Row(files_copied=n["Copied"] + n["Redacted"], files_redacted=n["Redacted"], files_skipped=n["Skipped"])
+    counters = Row(**(counters.asDict() | {"files_skipped": counters["files_skipped"] + skipped}))
     if report:
         sinks.json_report(counters, report)
     return counters

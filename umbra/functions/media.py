@@ -17,6 +17,7 @@ BY_EXTENSION = {
     "zip": "application/zip", "bin": "application/octet-stream", "parquet": "application/vnd.apache.parquet",
 }
 TEXT_PATTERN = r"^(text/(plain|html|xml|css|yaml|markdown|x-.*)|application/(xml|json|yaml|x-yaml))$"
+IMAGE_TYPES = tuple(sorted({t for t in BY_EXTENSION.values() if t.startswith("image/")} | {"image/jpg", "image/jpe"}))
 DLP_IMAGES = ("image/png", "image/jpeg", "image/jpg", "image/jpe", "image/gif", "image/bmp")
 
 

@@ -55,3 +55,18 @@ def delays(times_ms: Column, start_ms: Column, limit: Limit) -> Column:
 def share(limit: Limit, tasks: int) -> Limit:
     """A task's part of a limit that all tasks of a run keep together."""
     return Limit(limit.interval_ms * max(1, tasks), max(1, limit.capacity // max(1, tasks)))
+
+
+class Bucket:
+    """The same bucket for a task that waits: delay(now) is how long in ms the request at now has to wait."""
+
+    def __init__(self, limit: Limit, start_ms: int):
+        self.limit, self.cap, self.arrived, self.updated = limit, limit.capacity, start_ms, start_ms
+
+    def delay(self, now: int) -> int:
+        rate, most = self.limit.interval_ms, self.limit.capacity
+        new = max(now - self.arrived, 0) // rate
+        available = min(self.cap + new, most)
+        wait = 0 if available > 0 else max(rate - (now - self.updated), 0) + rate * abs(self.cap) // most
+        self.cap, self.arrived, self.updated = available - 1, self.arrived + new * rate, now
+        return wait

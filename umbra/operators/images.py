@@ -1,15 +1,13 @@
 """Box blackout, OCR words and OCR difference. Images are PNG, coded with zlib; other codecs, OCR engines and
-PDF renderers are plug-ins that are looked for and reported as missing, never imitated."""
+PDF renderers are plug-ins (operators/converters.py)."""
 
 from __future__ import annotations
 
-import importlib.util
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +17,16 @@ MARGINS = {"open-ai-llm": 0.25, "gemini-llm": 0.25, "gcp-vertex-ai": 0.20, "ocr"
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
-def capabilities() -> dict[str, bool]:
-    """Which optional converters this installation has."""
-    there = lambda name: importlib.util.find_spec(name) is not None
-    return {"png": True, "jpeg": there("PIL"), "ocr": there("pytesseract"), "pdf": there("pypdfium2")}
+def decode_png(data: bytes) -> np.ndarray:
+    """RGB pixels (height, width, 3) of an 8-bit grey, RGB or alpha PNG without interlace; alpha is dropped.
+    Anything else, cut or broken data too, is a ValueError."""
+    try:
+        return _decode_png(data)
+    except (struct.error, TypeError, IndexError, zlib.error) as e:
+        raise ValueError(f"broken PNG: {e}") from e
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """RGB pixels (height, width, 3) of an 8-bit grey, RGB or alpha PNG without interlace; alpha is dropped."""
+def _decode_png(data: bytes) -> np.ndarray:
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, packed, head = 8, [], None
@@ -97,26 +97,6 @@ def black_out(pixels: np.ndarray, boxes: Sequence[Sequence[float]], factor: floa
     return out
 
 
-def black_out_images(images: DataFrame, factor: float) -> DataFrame:
-    """relative_path, content, error of images (relative_path, mime_type, content, boxes array of BOX)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done, errors = [], []
-            for mime, data, boxes in zip(*(batch.column(c).to_pylist() for c in ("mime_type", "content", "boxes"))):
-                try:
-                    if mime != "image/png":
-                        raise ValueError(f"no codec for {mime}")
-                    done.append(encode_png(black_out(decode_png(data), [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes or []], factor)))
-                    errors.append(None)
-                except (ValueError, zlib.error) as e:
-                    done.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column("relative_path"), pa.array(done, pa.binary()), pa.array(errors, pa.string())], ["relative_path", "content", "error"])
-
-    return images.select("relative_path", "mime_type", "content", "boxes").mapInArrow(run, "relative_path string, content binary, error string")
-
-
 def ocr_words(chars: DataFrame, page: Sequence[str] = ("page",), drop_last: bool = False) -> DataFrame:
     """Words of recognised characters: page columns, line, pos, char, x1, y1, x2, y2 -> line, word, text and box.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import media
@@ -15,6 +17,34 @@ INVENTORY = "relative_path string, media_type string, file_size bigint"
 SCHEMES = {"": "file", "file": "file", "gs": "gs", "s3": "s3a", "s3a": "s3a", "hdfs": "hdfs", "zip": "zip", "clipboard": "clipboard", "noop": "noop"}
 
 
+@dataclass
+class Clipboard:
+    """What clipboard:// stands for: a value that the caller hands in, or takes out after the copy."""
+
+    content: bytes | str | None = None
+    media_type: str = "text/plain"
+
+    def take(self, row: Row | None) -> list[str]:
+        """Keep what a copy sends here. Needs a media type; text is decoded with replacement characters."""
+        if row is None:
+            return []
+        if row["outcome"] != "Skipped":
+            if row["media_type"] is None:
+                raise ValueError("the clipboard takes only what has a media type")
+            data = bytes(row["content"] or b"")
+            self.media_type = row["media_type"]
+            self.content = data if self.media_type.startswith("image/") else data.decode(errors="replace")
+        return [row["outcome"]]
+
+
+def clipboard_file(spark: SparkSession, clipboard: Clipboard | None) -> DataFrame:
+    """The clipboard as one file, named by the second; an empty one can't be read."""
+    if clipboard is None or clipboard.content is None:
+        raise ValueError("the clipboard is empty")
+    data = clipboard.content.encode() if isinstance(clipboard.content, str) else bytes(clipboard.content)
+    return spark.createDataFrame([(str(int(time.time())), clipboard.media_type, len(data), data)], INVENTORY + ", content binary")
+
+
 class UnknownSource(ValueError):
     """No source goes by this scheme."""
 
