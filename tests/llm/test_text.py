@@ -174,15 +174,36 @@ def test_decontamination_finds_passages_longer_or_shorter_than_the_item(what, ar
     assert len(got) >= 0.95 * len(want), len(got) / len(want)
 
 
+@pytest.mark.parametrize("m", [1, 2, 4, 150, 300])
+def test_decontamination_of_very_short_and_long_items(m):
+    """Short items are found word for word, long ones at their full budget of edits."""
+    rng = np.random.default_rng(m)
+    vocab = [f"w{k}" for k in range(4000)]
+    items = [(k, rng.choice(vocab, m, replace=False).tolist()) for k in range(30)]
+    texts = []
+    for _, words in items:
+        w = list(words)
+        for at in rng.choice(m, int(0.2 * m + 1e-9), replace=False):
+            w[at] = "zz"
+        texts.append([*["aa"] * 30, *w, *["bb"] * 30])
+    found = {(r, i): d for r, i, d, _, _ in contamination.Searcher(items, 0.8).search(pa.array([" ".join(t) for t in texts]))}
+    assert sum((k, k) in found for k in range(30)) >= 29
+    for (r, i), d in found.items():
+        assert edit_within(items[i][1], texts[r]) <= d <= int(0.2 * m + 1e-9)
+
+
 def test_decontamination_cases(spark, monkeypatch):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(1, item, 0), (2, "tiny one", 0), (3, None, 0), (None, item, 0), (4, item.upper(), 0), (5, "", 0)], "item_id long, text string, doc_id int")
     texts = [f"some words, {item}. and more", item, item.replace("gamma", "x"), "alpha beta gamma", None, "", "tiny one", ("filler " * 20000) + item, "alpha beta x y z epsilon zeta w v u"]
     for size in (contamination.PASS_ITEMS, 2):
         monkeypatch.setattr(contamination, "PASS_ITEMS", size)
-        got = sorted((r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in contamination.contaminated(frame(spark, texts), bench).collect())
+        got = sorted((r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in contamination.contaminated(frame(spark, texts), bench, min_words=5).collect())
         assert got == [(d, i, e, f) for d, e, f in ((0, 0, 2), (1, 0, 0), (2, 1, 0), (7, 0, 20000)) for i in (1, 4)]
-        assert sorted(r["doc_id"] for r in contamination.drop_contaminated(frame(spark, texts), bench).collect()) == [3, 4, 5, 6, 8]
+        assert sorted(r["doc_id"] for r in contamination.drop_contaminated(frame(spark, texts), bench, min_words=5).collect()) == [3, 4, 5, 6, 8]
+        short = contamination.contaminated(frame(spark, texts), bench).filter("item_id = 2").collect()
+        assert [tuple(r) for r in short] == [(6, 2, 0, 0, 2)]
+        assert sorted(r["doc_id"] for r in contamination.drop_contaminated(frame(spark, texts), bench).collect()) == [3, 4, 5, 8]
     assert contamination.contaminated(frame(spark, []), bench).count() == 0 and contamination.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
@@ -212,9 +233,13 @@ def test_language_cases_and_accuracy(spark, sf):
     texts = [None, "", "123 !!! ...", "é", "the " * 50000, "x" * 5000, "the and of with"]
     got = langid.predict_languages(frame(spark, texts), net).orderBy("doc_id").collect()
     assert [r["lang_pred"] == "und" for r in got] == [True, True, True, False, False, False, False] and all(0 <= r["score"] <= 1 for r in got) and got[0]["score"] == 0
-    assert langid.keep_known_languages(frame(spark, texts), net).count() == 4
+    own = frame(spark, texts, lang=None).withColumns({"lang_pred": F.lit("mine"), "score": F.lit(7)})
+    kept = langid.keep_known_languages(own, net)
+    assert kept.columns == own.columns and {(r["lang_pred"], r["score"], r["lang"] is None) for r in kept.collect()} == {("mine", 7, False)} and kept.count() == 4
+    assert langid.keep_known_languages(frame(spark, texts), net, margin=1.0).count() == 0
     nothing = langid.fit(frame(spark, ["a b"], lang=None))
     assert langid.predict_languages(frame(spark, ["a b"]), nothing).first()["lang_pred"] == "und"
+    assert [r["text"] for r in langid.keep_known_languages(frame(spark, ["a b", "1", None]), nothing).collect()] == ["a b"]
     assert langid.predict_languages(frame(spark, []), net).count() == 0
 
 

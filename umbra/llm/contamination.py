@@ -4,8 +4,8 @@ Texts and items are sequences of words. For every item length m, each run of m w
 A CGK walk reads a window word by word: at step t it shows the word under its pointer, and a random bit of
 (t, word) says whether the pointer moves on; edit distance becomes Hamming distance between the shown sequences.
 A repetition samples a few steps of a walk, forwards from the window's start or backwards from its end; windows
-and items that show the same words there are candidates. With REPETITIONS repetitions the target recall is
-reached (tests measure it against brute force). Candidates are verified by the exact word edit distance, of the
+and items that show the same words there are candidates. The repetitions of an item's length reach the target recall
+(tests measure it against brute force). Candidates are verified by the exact word edit distance, of the
 window or else, as d words inserted or deleted make a passage longer or shorter than m, of the best passage that
 starts or ends within d words of it. Windows may stand out of a document by d words, since it can be shorter than m.
 
@@ -20,11 +20,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.blocks import mix
-from umbra.llm.common import ragged, release_slot, slices
+from umbra.llm.common import ragged, slices, worker_slot
 
 REPETITIONS = 16
 SAMPLED_STEPS = 2
@@ -103,14 +104,20 @@ def _runs(words: np.ndarray, q: int) -> np.ndarray:
     return key
 
 
+def repetitions_for(m: int) -> int:
+    """Repetitions for items of m words: walks of longer items agree in fewer of the sampled steps. Measured at the
+    full budget of edits, this many find 0.99 of the passages (tests hold it for up to 300 words)."""
+    return max(REPETITIONS, -(-m * 27 // 100))
+
+
 class Searcher:
     """LSH tables of a benchmark's items and the search of documents in them."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, min_words: int, repetitions: int = REPETITIONS, sampled: int = SAMPLED_STEPS):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, min_words: int = 1, repetitions: int | None = None, sampled: int = SAMPLED_STEPS):
         self.vocabulary: dict[str, int] = {}
         by_length: dict[int, list] = {}
         for item, words in items:
-            if len(words) >= min_words:
+            if len(words) >= max(1, min_words):
                 by_length.setdefault(len(words), []).append((item, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
         self.words = pa.array(list(self.vocabulary), pa.string())
         self.codes = mix(np.arange(len(self.vocabulary) + 1, dtype=np.uint64) + np.uint64(77))
@@ -126,7 +133,7 @@ class Searcher:
             for b in range(m - q + 1):
                 seeds.setdefault(q, []).append((_runs(self.codes[codes[:, b : b + q]].T, q), len(self.plans), b))
             tables = []
-            for r in range(repetitions):
+            for r in range(repetitions or repetitions_for(m)):
                 steps = np.sort(rng.choice(max(2, int(1.5 * m)), min(sampled, max(2, int(1.5 * m))), replace=False))
                 salt = np.uint64(rng.integers(1, 1 << 63))
                 keys = self._walk(codes, steps, salt, backwards=bool(r % 2))
@@ -272,13 +279,20 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
+def _searcher(items: list, similarity: float, min_words: int) -> Searcher:
+    """The benchmark's tables, built once for a worker and not once a task."""
+    digest = xxhash.xxh128_hexdigest(repr((items, similarity, min_words)))
+    return worker_slot(("searcher", digest), lambda: Searcher(items, similarity, min_words))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 1) -> DataFrame:
     """doc_id, item_id, edits, first_word, n_words: the best place of every benchmark item found in a document.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. An item of m words is found where any
     run of words lies within floor((1 - similarity) * m) word edits. Where windows of m words do, the best one and its
-    edits are given, else the best run of other length. Items of fewer than min_words words
-    are not searched for, since any text would hold them; items of null id or text are skipped. Items equal in
+    edits are given, else the best run of other length. Items of fewer than five
+    words are found word for word, and any text may hold them: min_words leaves the shorter ones out. Items of null id
+    or text, or without words, are skipped. Items equal in
     text are all reported. Null and empty texts hold nothing. Repeated documents give their rows each. An empty
     table on either side gives no rows. A benchmark above PASS_ITEMS items or PASS_BYTES is searched in passes.
     """
@@ -289,8 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         items = list(zip(rows["item_id"].to_pylist(), normalized(rows["text"].combine_chunks()).to_pylist())) if rows.num_rows else []
 
         def run(batches, items=items):
-            release_slot()
-            searcher = Searcher(items, similarity, min_words)
+            searcher = _searcher(items, similarity, min_words)
             for batch in slices(batches, "text", 8 << 20):
                 found = searcher.search(batch.column("text"))
                 cols = list(zip(*found)) or [[]] * 5
@@ -302,7 +315,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 1) -> DataFrame:
     """docs, all columns, without the rows whose text holds a benchmark item; the rule of contaminated()."""
     out = docs
     for part in _passes(benchmark):
@@ -310,8 +323,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
         items = list(zip(rows["item_id"].to_pylist(), normalized(rows["text"].combine_chunks()).to_pylist())) if rows.num_rows else []
 
         def run(batches, items=items):
-            release_slot()
-            searcher = Searcher(items, similarity, min_words)
+            searcher = _searcher(items, similarity, min_words)
             for batch in slices(batches, "text", 8 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in searcher.search(batch.column("text"))]] = False

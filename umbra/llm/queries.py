@@ -32,7 +32,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from umbra.llm.contamination import contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8, min_words=5)
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
