@@ -221,6 +221,9 @@ def _labeller(net: Network) -> Labeller:
     return worker_slot(("labeller", net.digest()), lambda: Labeller(net))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -244,7 +247,7 @@ def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WO
         return column < F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("lang"))
 
     rows = labelled.filter(below(draw(F.lit("d"), "doc_id"), {k: share(documents, n) for k, n in counts.items()}))
-    spread = rows.select("lang", "doc_id", F.posexplode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("at", "word")).filter("word <> ''").persist()
+    spread = rows.select("lang", "doc_id", F.posexplode(F.split(F.translate("text", UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+")).alias("at", "word")).filter("word <> ''").persist()
     totals = {r["lang"]: r["n"] for r in spread.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     sample = spread.filter(below(draw(F.lit("w"), "doc_id", "at", "word"), {k: share(words, n) for k, n in totals.items()})).groupBy("lang", "word").agg(F.count("*").alias("n"))
     got = sorted((r["lang"], r["word"], r["n"]) for r in sample.collect())  # bounded: languages x words
@@ -282,7 +285,22 @@ def predict_languages(docs: DataFrame, net: Network) -> DataFrame:
     return base.mapInArrow(run, out)
 
 
-def keep_known_languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """docs without the rows whose language is und: null texts and texts without a letter."""
+def keep_known_languages(docs: DataFrame, net: Network | None = None, margin: float = 0.03) -> DataFrame:
+    """docs, their columns and no others, without the rows whose language the network can't tell.
+
+    These are null texts, texts without a letter, and texts whose pooled probability lies within `margin` of the way
+    from an even spread over the languages to certainty; at 0.03 only texts on which the network has no opinion (with
+    a single language learned there is no such text). Where docs has a
+    column lang, a null there becomes the predicted language. Where nothing could be learned (no labelled rows), every
+    text with a letter stays. Columns lang_pred and score of docs itself are left alone.
+    """
     net = net or fit(docs)
-    return predict_languages(docs, net).filter("lang_pred <> 'und'").select(docs.columns)
+    if not net.langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    even = 1 / len(net.langs)
+    floor = even + margin * (1 - even) if len(net.langs) > 1 else 0.0
+    found = predict_languages(docs.withColumnsRenamed(own), net).filter((F.col("lang_pred") != "und") & (F.col("score") >= floor))
+    if "lang" in docs.columns:
+        found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
