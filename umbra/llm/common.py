@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,46 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stage_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are removed at the end, but for those staged with keep: these belong to what is around."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
+def stage_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, removed with its intermediates() or else when the session's JVM ends."""
     path = f"{shared_dir(spark)}/umbra-{uuid.uuid4().hex}/{label}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(parent)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return path
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = stage_path(spark, label)
+    path = stage_path(spark, label, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

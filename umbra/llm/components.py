@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import stage_table
+from umbra.llm.common import intermediates, stage_table
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -64,6 +64,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     partially aggregated before it is shuffled; tasks contract their own edges first. Each round is written
     to the shared folder. Self-loops are dropped, repeated edges don't matter, no edges give no rows.
     """
+    spark = edges.sparkSession
+    with intermediates(spark):
+        return stage_table(_stars(edges, max_rounds), "components", keep=True)
+
+
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
     e = stage_table(edges.filter("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "edges")
     count = e.count()
     for k in range(max_rounds):

@@ -25,6 +25,8 @@ BITS = 64
 PART = 60_000
 FRONTIER = 400_000
 LEAF = 48
+#: Pairs held before they are replaced by a spanning forest.
+PAIRS = 2_000_000
 
 
 def shingle_hashes(text: bytes, width: int = 4):
@@ -164,13 +166,18 @@ def _join_units(batches, choices, blocks, errors):
             l1, h1 = starts, np.where(whole, ends, middle)
             l2, h2 = np.where(whole, starts, middle), ends
             ok = (h1 > l1) & (h2 > l2)
-            found = list(trie_pairs(keys, l1[ok], h1[ok], l2[ok], h2[ok], below - 1, errors))
-            if found:
+            found, pairs = [], 0
+            for i, j in trie_pairs(keys, l1[ok], h1[ok], l2[ok], h2[ok], below - 1, errors):
+                found.append((i, j))
+                pairs += len(i)
+                if pairs > PAIRS:  # a dense group has far more pairs than fingerprints
+                    found = [forest(*map(np.concatenate, zip(*found)))]
+                    pairs = len(found[0][0])
+            if pairs:
                 back = fp[mine][order].view(np.int64)
                 a, b = (back[np.concatenate(x)] for x in zip(*found))
                 node, root = forest(a, b)
-                if len(node):
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:

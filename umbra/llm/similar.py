@@ -18,17 +18,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ragged, release_slot, shuffle_partitions, slices, stage_table
+from umbra.llm.blocks import ASKED, answers_in_order, asked_rows, counted, exchange, level0_parts, no_rows
+from umbra.llm.common import intermediates, ragged, release_slot, shuffle_partitions, slices, stage_table
 from umbra.llm.components import connected_components
 from umbra.llm.simhash import fingerprint_links, fingerprint_of, keep_smallest, shingle_hashes
 
 SIMHASH_BITS = 6
 #: One text in SAMPLE tells which shingles are common: those of COMMON_TEXTS sampled texts, COMMON of them at most.
 SAMPLE, COMMON_TEXTS, COMMON = 32, 3, 200_000
+#: Rows of 16 bytes up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Candidate pairs held at once in a task.
 PAIRS = 1 << 20
 
 
+LISTED = "key long, node long, n int, pos int"
+
+
 def prefix_length(n):
     """How many first shingles of n are listed."""
     return n - (4 * n + 4) // 5 + 1
@@ -62,13 +68,19 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+BUNDLE = "src long, doc_id array<long>, content array<long>, node array<long>, n array<int>, fp array<long>, prefix binary"
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, content (hash of the text), node (hash of the set), n (its size), fp (SimHash), prefix (its first shingles) of every row."""
+    """BUNDLE rows of some documents each: doc_id, content (hash of the text), node (hash of the set), n (its size), fp
+    (SimHash), and the prefixes (first shingles) of all documents one after another."""
     keys, counts = _common(docs, width)
 
     def run(batches):
         release_slot()
         for batch in slices(batches, "text"):
+            if not batch.num_rows:
+                continue
             nodes, sizes, fps, prefixes = [], [], [], []
             for t in batch.column("text").to_pylist():
                 parts = list(shingle_hashes((t or "").encode(), width))
@@ -79,14 +91,57 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     h = h[np.argsort(np.where(keys[at] == h, counts[at], 0), kind="stable")]
-                prefixes.append(h[: prefix_length(len(h)) if len(h) else 0])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+                prefixes.append(h[: prefix_length(len(h)) if len(h) else 0].tobytes())
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x)
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), longs[0], pa.array(sizes, pa.int32()), longs[1], prefix], ["doc_id", "content", "node", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *map(one, (batch.column("doc_id"), batch.column("content"), longs[0], pa.array(sizes, pa.int32()), longs[1])), pa.array([b"".join(prefixes)], pa.binary())], ["src", "doc_id", "content", "node", "n", "fp", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, BUNDLE)
+    return rows.withColumn("src", F.monotonically_increasing_id())
+
+
+class _Prefixes:
+    """A bundle's prefix entries, each set once: key, node, n and pos."""
+
+    def __init__(self, bundle: pa.Table | pa.RecordBatch):
+        nodes, sizes = (np.asarray(bundle[c][0].values, np.int64) for c in ("node", "n"))
+        lengths = np.where(sizes > 0, prefix_length(sizes), 0)
+        keys = np.frombuffer(bundle["prefix"][0].as_py(), np.uint64)
+        _, first = np.unique(nodes, return_index=True)
+        starts = (np.cumsum(lengths) - lengths)[first]
+        lengths = lengths[first]
+        self.key = keys[ragged(starts, lengths)]
+        self.node, self.n = np.repeat(nodes[first], lengths), np.repeat(sizes[first], lengths)
+        self.pos = ragged(np.zeros(len(lengths), np.int64), lengths)
+
+
+def _listed(bundles: DataFrame) -> DataFrame:
+    """key, node, n, pos of the prefix entries whose key another entry may have: keys are counted first, by 48 bits,
+    packed, so that the many that stand alone don't travel as rows."""
+    spark = bundles.sparkSession
+    partitions, sources = shuffle_partitions(spark), bundles.count()
+    parts = level0_parts(sources, partitions)
+    kind = counted(16, lambda n: (n > 1).astype(np.uint8), np.uint8)
+    cut = ~np.uint64(0xFFFF)
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                names = np.unique(_Prefixes(one).key & cut, return_counts=True)
+                yield from asked_rows(kind, names, 0, one["src"][0].as_py(), 0, parts).to_batches()
+
+    def emit(bundle: pa.Table, found: pa.Table) -> pa.Table:
+        if not bundle.num_rows or not found.num_rows:
+            return no_rows(LISTED)
+        p = _Prefixes(bundle)
+        names, where = np.unique(p.key & cut, return_inverse=True)
+        keep = answers_in_order(found, kind)[where] > 0
+        return pa.table({"key": p.key[keep].view(np.int64), "node": p.node[keep], "n": p.n[keep].astype(np.int32), "pos": p.pos[keep].astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, "doc_id long, content long, node long, n int, fp long, prefix array<long>")
+    answers = exchange(bundles.select("src", "node", "n", "prefix").mapInArrow(ask, ASKED), kind, sources).repartition(partitions, "src")
+    placed = bundles.select("src", "node", "n", "prefix").repartition(partitions, "src")
+    return placed.groupBy("src").cogroup(answers.groupBy("src")).applyInArrow(emit, LISTED)
 
 
 def _lists(batches, columns):
@@ -110,10 +165,12 @@ def _lists(batches, columns):
 
 
 def _shared(batches):
-    """The rows whose shingle another set lists too."""
+    """The rows whose shingle another set lists too; of rows of one set, which copies in several bundles give, one."""
     release_slot()
     names = ["key", "node", "n", "pos"]
     for cols in _lists(batches, names):
+        fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+        cols = [c[fresh] for c in cols]
         same = cols[0][1:] == cols[0][:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         # the smaller neighbour in the list is 0.8 as large at least, or the larger one isn't larger than that
@@ -177,17 +234,19 @@ def _hashed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "h"])
 
-    texts = docs.select(F.xxhash64("text").alias("content"), "text").join(wanted, "content").select("node", "text")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(F.xxhash64("text").alias("content"), "text").join(F.broadcast(wanted) if few else wanted, "content").select("node", "text")
     return texts.dropDuplicates(["node"]).mapInArrow(run, "node long, h array<long>")
 
 
 def similar_roots(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, content (hash of the text) and root (a node of its group) of every row; null text counts as empty."""
     spark = docs.sparkSession
-    rows = stage_table(shingle_sets(docs, width), "shingle-sets")
-    listed = rows.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    placed = listed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n")
-    lists = stage_table(placed.mapInArrow(_shared, "key long, node long, n int, pos int"), "shared-shingles")
+    bundles = stage_table(shingle_sets(docs, width), "shingle-sets")
+    columns = ("doc_id", "content", "node", "n", "fp")
+    rows = bundles.select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")
+    placed = _listed(bundles).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n", "node")
+    lists = stage_table(placed.mapInArrow(_shared, LISTED), "shared-shingles")
     active = stage_table(rows.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"), F.min("fp").alias("fp")), "active-sets")
     sets = stage_table(_hashed(docs, active.select("node", "content"), width), "active-shingles")
 
@@ -210,4 +269,6 @@ def keep_one_of_similar(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Groups are the components over pairs of 0.8 or more. Which row stays: see simhash.keep_one_of_each().
     """
-    return keep_smallest(docs, stage_table(similar_roots(docs, width), "similar"))
+    with intermediates(docs.sparkSession):
+        rooted = stage_table(similar_roots(docs, width), "similar", keep=True)
+    return keep_smallest(docs, rooted)
