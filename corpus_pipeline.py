@@ -14,7 +14,7 @@ from umbra.llm.substrings import remove_substrings
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents whose language can't be told (no letter in the text, or no text) go."""
+    """Operator 8: documents whose language the network can't tell go; where lang is null it becomes the prediction."""
     return keep_known_languages(docs)
 
 
@@ -33,7 +33,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that hold a benchmark item go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8, min_words=5)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
