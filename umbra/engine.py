@@ -77,8 +77,8 @@ def redact_files(files: DataFrame, options: CopyOptions) -> DataFrame:
 
     def finish(df: DataFrame) -> DataFrame:
         ran = df.withColumn("n_passes", F.when(F.col("error").isNull(), F.col("n_passes")).otherwise(0))
-        kept = F.when(F.col("error").isNull(), F.col("content"))
-        return ran.withColumn("outcome", outcome(F.col("verdict"), options.detectors is not None, F.col("n_passes"), F.col("error"), options.allow_unsupported_copies)).withColumn("content", kept).select(out_cols)
+        done = ran.withColumn("outcome", outcome(F.col("verdict"), options.detectors is not None, F.col("n_passes"), F.col("error"), options.allow_unsupported_copies))
+        return done.withColumn("content", F.when(F.col("outcome") != "Skipped", F.col("content"))).select(out_cols)
 
     def joined(part: DataFrame, redacted: DataFrame) -> DataFrame:
         """part with the content and error that redacted (relative_path, content, error) has for each file."""

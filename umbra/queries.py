@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.engine import CopyOptions, redact_files
 from umbra.functions import detect, media, throttle
 from umbra.functions.detect import CARD, DEFAULT_RULES, EMAIL, IP, PHONE, TOKEN
-from umbra.operators import images
-from umbra.operators.providers import boxes_from_json
+from umbra.operators import images, pictures
+from umbra.operators.converters import Page, installed
+from umbra.operators.providers import RuleDetector, boxes_from_json
 from umbra.plans import planning
 from umbra.plans.planning import PROVIDERS
-from umbra.session import spread
-from umbra.sources.inventory import first_files
-from umbra.sources.tables import redact_columns
+from umbra.session import shared_path, spread
+from umbra.sources.archive import read_zip, write_zip
+from umbra.sources.inventory import decode_text, first_files, scan, with_verdict
+from umbra.sources.sinks import write_files
+from umbra.sources.tables import read_tables, redact_columns, write_tables
 
 EXTENSIONS = ("txt", "md", "csv", "png", "pdf", "json", "html", "js", "toml", "svg", "bin")
 _SQL_EXT = "['" + "','".join(EXTENSIONS) + "']"
@@ -173,11 +179,11 @@ def toxic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- files: inventory, plan, outcome -----------------------------------------------------------------------
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """documents as files: source/doc_id.ext of n_chars bytes, the extension by doc_id."""
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.pmod("doc_id", F.lit(len(EXTENSIONS))) + 1).cast("int"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    return table(spark, sf_dir, "documents").select(path.alias("relative_path"), media.guess(path).alias("media_type"), F.when(F.pmod("doc_id", F.lit(17)) != 0, F.col("n_chars")).alias("file_size"))
+    return table(spark, sf_dir, "documents").select(path.alias("relative_path"), media.guess(path).alias("media_type"), F.when(F.pmod("doc_id", F.lit(17)) != 0, F.col("n_chars")).alias("file_size"), *columns)
 
 
 _TYPES = " ".join(f"when '{e}' then '{media.BY_EXTENSION[e]}'" for e in EXTENSIONS)
@@ -328,6 +334,122 @@ def info_type_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("["), F.array_join(types, ", "), F.lit("]")).alias("info_types"))
 
 
+# -- contents: tables, files, archives ----------------------------------------------------------------------
+def _quoted(text: Column) -> Column:
+    return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def _sql_csv(text: str) -> str:
+    """A CSV file of a header line and one row."""
+    return f"""'doc_id,text' || chr(10) || doc_id || ',' || case when regexp_matches({text}, '[",\\n\\r]') then '"' || replace({text}, '"', '""') || '"' else {text} end || chr(10)"""
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a CSV file of one row."""
+    said = F.coalesce("text", F.lit(""))
+    content = F.concat(F.lit("doc_id,text\n"), F.col("doc_id").cast("string"), F.lit(","), _quoted(said), F.lit("\n"))
+    return texts(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".csv")).alias("relative_path"), F.encode(content, "UTF-8").alias("content"))
+
+
+def _cells(parsed: DataFrame) -> DataFrame:
+    row = F.element_at("rows", 1)
+    return parsed.select(F.element_at(row, 1).cast("bigint").alias("doc_id"), F.element_at(row, 2).alias("text"))
+
+
+_SAID = "coalesce(text, '')"
+
+
+@register("csv_redact", f"select doc_id, {sql_replace(_SAID)} as text from documents")
+def csv_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(RuleDetector().redact_tables(read_tables(csv_files(spark, sf_dir))))
+
+
+@register("csv_mask", f"select doc_id, {sql_mask(_SAID, detect.any_of(DEFAULT_RULES))} as text from documents")
+def csv_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(RuleDetector(mode="mask").redact_tables(read_tables(csv_files(spark, sf_dir))))
+
+
+_CHAINED = sql_mask(sql_replace(_SAID, [EMAIL]), detect.any_of([CARD, PHONE]))
+
+
+@register("csv_chain", f"select doc_id, sha256({_sql_csv('said')}) as content_sha256 from (select doc_id, {_CHAINED} as said from documents)")
+def csv_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors in turn, of different modes; the written files' digests."""
+    parsed = read_tables(csv_files(spark, sf_dir))
+    for d in (RuleDetector([EMAIL]), RuleDetector([CARD, PHONE, IP], mode="mask", denied=("IP_ADDRESS",))):
+        parsed = d.redact_tables(parsed)
+    written = write_tables(parsed)
+    return written.select(F.substring_index("relative_path", ".", 1).cast("bigint").alias("doc_id"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_SHA = "sha256({})"
+_RULED = sql_replace(_SAID)
+
+
+@register("copy_documents", f"""with {_FILES.replace("from documents)", ", doc_id, text from documents)")},
+  made as (select relative_path, {_TEXT} as is_text, coalesce(media_type = 'text/csv', false) as is_table, doc_id, {_SAID} as plain, {_RULED} as said from files)
+  select relative_path, case when (is_text and doc_id % 5 <> 0) or is_table then 'Redacted' else 'Skipped' end as outcome,
+    case when is_text and doc_id % 5 <> 0 then {_SHA.format("said")} when is_table then {_SHA.format(_sql_csv("said"))} end as content_sha256,
+    case when is_text and doc_id % 5 = 0 then 'content is not UTF-8' end as error,
+    case when (is_text and doc_id % 5 <> 0) or is_table then 1 else 0 end::int as n_passes from made""")
+def copy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of all types through the whole chain of a copy: each fifth one's bytes aren't UTF-8, .csv
+    files are CSV, and types that rules don't take are skipped."""
+    said = F.coalesce("text", F.lit(""))
+    csv = F.concat(F.lit("doc_id,text\n"), F.col("doc_id").cast("string"), F.lit(","), _quoted(said), F.lit("\n"))
+    is_csv = F.col("media_type") == "text/csv"
+    broken = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))
+    content = F.when(F.coalesce(is_csv, F.lit(False)), F.encode(csv, "UTF-8")).otherwise(F.concat(F.encode(said, "UTF-8"), broken))
+    made = files(spark, sf_dir, "doc_id", "text").withColumn("content", content).drop("doc_id", "text")
+    done = redact_files(with_verdict(made), CopyOptions(detectors=[RuleDetector()]))
+    return done.select("relative_path", "outcome", F.sha2("content", 256).alias("content_sha256"), "error", "n_passes")
+
+
+@register("strict_text", f"select doc_id, case when doc_id % 3 <> 0 then {_SAID} end as text, case when doc_id % 3 = 0 then 'content is not UTF-8' end as error from documents")
+def strict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    broken = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
+    text, error = decode_text(broken)
+    return texts(spark, sf_dir).select("doc_id", text.alias("text"), error.alias("error"))
+
+
+def _as_copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = files(spark, sf_dir, "text")
+    return made.select("relative_path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("Copied").alias("outcome"))
+
+
+_BACK = f"""with {_FILES.replace("from documents)", ", text from documents)")} select relative_path, media_type, strlen({_SAID})::bigint as file_size, sha256({_SAID}) as content_sha256 from files"""
+
+
+@register("file_round_trip", _BACK)
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files under the shared folder, then listed and read back."""
+    root = shared_path(spark, "files") + "/"
+    write_files(_as_copied(spark, sf_dir), root).count()
+    found = scan(spark, root.removeprefix("file://"), content=True)
+    return found.select("relative_path", "media_type", "file_size", F.sha2("content", 256).alias("content_sha256"))
+
+
+@register("zip_round_trip", _BACK)
+def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an archive, which one writer makes."""
+    path = shared_path(spark, "all.zip").removeprefix("file://")
+    write_zip(_as_copied(spark, sf_dir), path)
+    return read_zip(spark, path).select("relative_path", "media_type", "file_size", F.sha2("content", 256).alias("content_sha256"))
+
+
+@register("pdf_pages", "select item_id, string_agg(1 + strlen(w) % 40, ',' order by k) as widths from (select item_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as k from benchmark) group by item_id")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split into pages, carried as PNG rows, merged in order; a stand-in for a renderer makes a page of each word."""
+    split = lambda data: [Page(np.zeros((2, 1 + len(w) % 40, 3), np.uint8), 1.0, 1.0) for w in data.split(b" ")]
+    merge = lambda pages: ",".join(str(p.pixels.shape[1]) for p in pages).encode()
+    able = replace(installed(), split_pdf=split, merge_pdf=merge)
+    papers = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("relative_path"), F.encode("text", "UTF-8").alias("content"))
+    pages = pictures.split_pages(papers, able).repartition(4)
+    merged = pictures.merge_pages(pages, able)
+    return merged.select(F.col("relative_path").cast("bigint").alias("item_id"), F.col("content").cast("string").alias("widths"))
+
+
 # -- OCR and images ----------------------------------------------------------------------------------------
 def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as recognised pages: a row a character, lines as in the text."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +25,27 @@ def session(master: str | None = None, app: str = "umbra", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set (tests,
+    local mode)."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-"))
+        root = sc.getCheckpointDir()
+    return root
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/umbra-{uuid.uuid4().hex}/{label}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Shuffle a small scan over the cores; leave a large one alone.
 
