@@ -126,6 +126,15 @@ def test_shards(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "s" / "_manifest") if f.startswith(".tmp")]
 
 
+def test_shards_of_clashing_columns(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/c")
+    mine = spark.createDataFrame([(1, "a", 2, "x" * 3_000_000), (1, "a", 2, None)], "_shard int, _Version string, version long, text string")
+    assert store.append(mine) == 1
+    got = store.read()
+    assert {"__shard", "__shard_bytes", "__shard_rows", "__version"} <= set(got.columns)
+    assert got.select(mine.columns).exceptAll(mine).count() == 0 and got.count() == 2 and store.read(0).count() == 0
+
+
 def test_sharding_runs_no_python(spark, sf):
     out = queries.op10_sharding(spark, sf)
     plan = out._jdf.queryExecution().executedPlan().toString()

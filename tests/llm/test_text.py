@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -42,7 +43,8 @@ def test_counts_and_cache(spark, tmp_path):
         got = tokens.count_tokens(frame(spark, docs), WORD_BPE, cache).orderBy("doc_id").collect()
         assert [(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got] == want[: len(docs)]
         assert [r["over_limit"] for r in got] == [n > 2048 for _, _, n in want[: len(docs)]]
-    stored = spark.read.parquet(cache)
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(cache)
+    assert len(os.listdir(cache)) == 3 and all(n.startswith("run-") for n in os.listdir(cache))
     assert stored.count() == stored.select("digest").distinct().count() == 4
     model = public_tokenizers.path("piece_bpe_32k.model")
     assert not tokens.word_wise(model) and not tokens.word_wise(public_tokenizers.path("byte_bpe_50k.json"))

@@ -99,7 +99,7 @@ def _round(pieces: DataFrame, groups: int, level: int, last: bool, capacity: int
         out = whole.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(seq, pa.int64(), mask=~keep)).append_column("offset", pa.array(off, pa.int64()))
         yield from out.combine_chunks().to_batches()
 
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.lit(level)), F.lit(groups)).cast("long"))
+    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)).cast("long"))  # by place, not content: equal rows spread
     return grouped.repartition(groups, "pack_group").mapInArrow(pack, PIECES + ", sequence_id long, offset long")
 
 
@@ -108,8 +108,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
     Null or empty text is the single id end_id. Repeated rows and null ids are packed as rows of their own;
     an empty table gives none. A document of more than capacity ids is cut into full pieces and a last,
-    possibly shorter one. Offsets within a sequence are gapless from 0. Equal rows of one table fall into
-    one group of a round; a group takes the memory of its rows' five numbers.
+    possibly shorter one. Offsets within a sequence are gapless from 0. A group takes the memory of its
+    rows' five numbers.
     """
     pieces = stage_table(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))

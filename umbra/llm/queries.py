@@ -114,6 +114,31 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_removals(_table(spark, sf_dir, "documents"), length=200)
 
 
+OP5_SQL = """
+with b as (
+  select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as data from documents
+), windows as (
+  select rid, p, data[p:p+199] as s from (select rid, data, unnest(range(1, octet_length(data) - 198)) as p from b where octet_length(data) >= 200)
+), again as (
+  select s from windows group by s having count(*) > 1
+), hits as (
+  select rid, p, lag(p) over (partition by rid order by p) as before from windows semi join again using (s)
+), islands as (
+  select rid, p, sum(case when before is null or p > before + 200 then 1 else 0 end) over (partition by rid order by p rows unbounded preceding) as island from hits
+), spans as (
+  select rid, island, min(p) as a, max(p) + 199 as z from islands group by rid, island
+), gaps as (
+  select rid, island, a, z, coalesce(lag(z) over (partition by rid order by island), 0) as prev from spans
+), kept as (
+  select rid, count(*) as n_spans, sum(z - a + 1) as n_removed, max(z) as last, string_agg(hex(data[prev+1:a-1]), '' order by island) as head
+  from gaps join b using (rid) group by rid
+)
+select doc_id, octet_length(data)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(case when kept.rid is null then data else unhex(head || hex(data[last+1:octet_length(data)])) end) as kept_sha256
+from b left join kept using (rid)
+"""
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, parsed back from the formatted strings, digested."""
     from umbra.llm.chat import format_conversations, parse
@@ -205,4 +230,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op4_lm_scores": OP4_SQL, "op3_embeddings": OP3_SQL, "op6_chat": OP6_SQL}
+ORACLE_SQL = {"op4_lm_scores": OP4_SQL, "op5_substrings": OP5_SQL, "op3_embeddings": OP3_SQL, "op6_chat": OP6_SQL}

@@ -37,7 +37,8 @@ class CommitConflict(RuntimeError):
 class ShardStore:
     """A table kept as immutable shards; columns are whatever the first arrival has.
 
-    Nulls, empty and long texts and repeated rows are stored as they are. An arrival without rows commits no
+    Nulls, empty and long texts and repeated rows are stored as they are, and columns of any name: where one is called
+    as read() would call its own, read() puts another _ before its own. An arrival without rows commits no
     shard; a store without rows reads as an empty table of the first arrival's schema.
     """
 
@@ -163,6 +164,10 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the shard each lies in: _shard, _shard_bytes, _shard_rows, _version."""
+        taken = {c.lower() for c in self.schema().names}
+        own = ["_shard", "_shard_bytes", "_shard_rows", "_version"]
+        while taken & set(own):
+            own = [f"_{c}" for c in own]
         version = self.version() if version is None else version
         shards = self.shards(version)
         reader = self.spark.read.schema(self.schema())
@@ -172,8 +177,8 @@ class ShardStore:
             self.fs.mkdirs(self.jvm.org.apache.hadoop.fs.Path(empty))
             paths = [empty]
         rows = reader.parquet(*paths)
-        rows = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/[^/]+)$", 1).alias("_shard"))
+        rows = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+/[^/]+)$", 1).alias(own[0]))
         if not shards:
-            return rows.selectExpr("*", "0L as _shard_bytes", "0L as _shard_rows", f"{version}L as _version")
-        listed = self.spark.read.schema(MANIFEST).json(self.manifest_path(version)).selectExpr("shard as _shard", "bytes as _shard_bytes", "rows as _shard_rows", "version as _version")
-        return rows.join(listed, "_shard")
+            return rows.selectExpr("*", *[f"0L as {c}" for c in own[1:3]], f"{version}L as {own[3]}")
+        listed = self.spark.read.schema(MANIFEST).json(self.manifest_path(version)).selectExpr(*[f"{a} as {b}" for a, b in zip(("shard", "bytes", "rows", "version"), own)])
+        return rows.join(listed, own[0])

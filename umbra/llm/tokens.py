@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ragged, shuffle_partitions, slices, stage_path, stage_table, text_buffer, worker_slot
+from umbra.llm.common import block_count, ragged, slices, stage_path, stage_table, text_buffer, worker_slot
 
 #: A pre-tokenizer of this form matches no white space and drops what it doesn't match.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words whose ids a worker remembers; beyond that only those met in two batches at least stay, so memory is bounded.
 MEMO_WORDS = 300_000
+#: Bytes of documents whose distinct digests one task remembers.
+DIGEST_BYTES = 64 << 20
 
 
 def tokenizer_version(path: str) -> str:
@@ -220,16 +223,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (columns doc_id and text; others are ignored).
 
     Null and empty text: 0 bytes, 0 tokens. Repeated rows, and repeated or null doc_id, give a row each. No
-    rows in, no rows out. cache_path: a Parquet folder of (digest, tokenizer, n_tokens) that is read and
-    appended to; a fresh one in the shared folder if None. A row that two runs append at once is harmless:
-    the cache is reduced to one row a digest when read.
+    rows in, no rows out. cache_path: a folder of runs, each a Parquet folder of (digest, tokenizer, n_tokens), that is
+    read and added to; a fresh one in the shared folder if None. A run is written aside and renamed when complete, so
+    runs at the same time don't meet; a digest that two of them add is read as one.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     cache_path = cache_path or stage_path(spark, "token-counts")
     schema = "digest string, tokenizer string, n_tokens long"
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(cache_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    exists = fs.exists(path(cache_path))
+    cached = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(cache_path).filter(F.col("tokenizer") == version)
 
     text = docs.select("doc_id", "text").withColumn("digest", content_digest(F.col("text")))
 
@@ -246,11 +251,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     contents = text.select("digest", "text").mapInArrow(_first_of_each, "digest string, text string")
     if exists:
-        known = spark.read.schema(schema).parquet(cache_path).filter(F.col("tokenizer") == version).select("digest").distinct()
+        known = cached().select("digest").distinct()
         contents = contents.join(known, "digest", "left_anti")
-    parts = shuffle_partitions(spark)
-    contents.repartition(parts, "digest").mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
+    run = uuid.uuid4().hex
+    contents.repartition(block_count(docs, "text", DIGEST_BYTES), "digest").mapInArrow(encode, schema).write.parquet(f"{cache_path}/_run-{run}")
+    if not fs.rename(path(f"{cache_path}/_run-{run}"), path(f"{cache_path}/run-{run}")):
+        raise OSError(f"can't commit the token counts of run {run}")
 
-    counts = spark.read.schema(schema).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = cached().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     keys = stage_table(text.select("doc_id", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "token-keys")
     return keys.join(counts, "digest", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), (F.coalesce("n_tokens", F.lit(0)) > limit).alias("over_limit"))
