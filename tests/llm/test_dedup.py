@@ -269,9 +269,10 @@ def slow_embeddings(rows, threshold):
     return sorted(((rows[k][0], int(near[k].sum()), low[comp[k]]) for k in range(n)), key=repr)
 
 
-@pytest.mark.parametrize("part", [embeddings.PART, 3])
-def test_embeddings_against_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, big", [(embeddings.PART, embeddings.BIG), (3, 4), (embeddings.PART, 10)])
+def test_embeddings_against_brute_force(spark, monkeypatch, part, big):
     monkeypatch.setattr(embeddings, "PART", part)
+    monkeypatch.setattr(embeddings, "BIG", big)
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 16))
     near = base[:25] + rng.normal(size=(25, 16)) * 0.06
@@ -285,5 +286,22 @@ def test_embeddings_against_brute_force(spark, monkeypatch, part):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_recall_just_above_the_threshold_of_20000_vectors(spark):
+    """Pairs planted at cosine 0.951 among 20,000 vectors, the hardest that count; nothing below 0.95 links."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest, a = unit(rng.normal(size=(16_000, 64))), unit(rng.normal(size=(2000, 64)))
+    off = rng.normal(size=a.shape)
+    off = unit(off - (off * a).sum(axis=1, keepdims=True) * a)
+    x = np.concatenate([rest, a, 0.951 * a + np.sqrt(1 - 0.951**2) * off]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}))
+    links = embeddings.embedding_components(df, 0.95).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    want = np.zeros(20_000, np.int64)
+    wide = unit(x.astype(np.float64))
+    for at in range(0, 20_000, 2000):
+        want[at : at + 2000] = (wide[at : at + 2000] @ wide.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() >= 4000 and (links <= want).all() and links.sum() >= 0.98 * want.sum()
+
+
 def test_no_embeddings(spark):
     assert embeddings.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

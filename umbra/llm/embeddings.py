@@ -1,16 +1,15 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by its nearest pivots. Inverted lists are kept per pair of pivots: two vectors lie
-in a common list exactly if they share at least two of their nearest pivots, so the list join is the
-shared-pivot count test, and a pair is counted in the list of its two smallest shared pivots only. What a list
-retrieves is verified by cosine in double precision. Lists of more than PART vectors are salted into parts
-and every pair of parts is a unit of its own. Equal vectors are one class and are never paired.
+Every vector is described by its nearest pivots and sent to the inverted list of each of them. Two vectors are
+candidates if they share two of their nearest pivots at least: in the list of a pivot, they are counted where the next
+shared pivot is the same too, and a pair only in the list of its two smallest shared pivots. What a list retrieves is
+verified by cosine in double precision. The list of a pivot of more than BIG vectors is kept per pair of pivots
+instead, and of these, lists of more than PART vectors are salted into parts; every pair of parts is a unit of its own.
+Equal vectors are one class and are never paired.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +22,7 @@ from umbra.llm.components import connected_components, forest
 MAX_PIVOTS = 2048
 NEAREST = 8
 PART = 2000
+BIG = 20_000
 
 
 def pivot_count(n: int) -> int:
@@ -51,7 +51,7 @@ def _verify(batches, threshold: float):
     names = ("key", "i", "j")
     held, size = [], 0
 
-    def linked(t, l1, h1, l2, h2, x):
+    def linked(l1, h1, l2, h2, x, row):
         small = (h1 - l1) * (h2 - l2) <= 4096
         n1, n2 = (h1 - l1)[small], (h2 - l2)[small]
         pairs = n1 * n2
@@ -61,11 +61,11 @@ def _verify(batches, threshold: float):
             i, j = np.repeat(l1[small][part], p) + at // wide, np.repeat(l2[small][part], p) + at % wide
             once = np.repeat(l1[small][part] != l2[small][part], p) | (i < j)
             i, j = i[once], j[once]
-            near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            near = np.einsum("ij,ij->i", x[row[i]], x[row[j]]) >= threshold
             yield i[near], j[near]
         for a, b, c, d in zip(l1[~small], h1[~small], l2[~small], h2[~small]):
             for at in range(a, b, 512):
-                i, j = np.nonzero(x[at : min(b, at + 512)] @ x[c:d].T >= threshold)
+                i, j = np.nonzero(x[row[at : min(b, at + 512)]] @ x[row[c:d]].T >= threshold)
                 i, j = i + at, j + c
                 if a == c:
                     i, j = i[i < j], j[i < j]
@@ -74,24 +74,32 @@ def _verify(batches, threshold: float):
     def emit(t):
         cols = [t[c].to_numpy() for c in names]
         side, cid, mult = (t[c].to_numpy() for c in ("side", "cid", "mult"))
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(cid))
-        ones = np.concatenate([[0], np.cumsum(side)])
-        middle = ends - (ones[ends] - ones[starts])
-        whole = cols[1][starts] == cols[2][starts]
-        l1, h1, l2, h2 = starts, np.where(whole, ends, middle), np.where(whole, starts, middle), ends
         x = _unit(_matrix(t["vec"]))
         near = np.sort(np.asarray(t["pivots"].combine_chunks().flatten(), np.int64).reshape(len(cid), -1), axis=1)
+        unit = np.cumsum(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+        # a row stands in the list of its pivot and each larger one, or of the one pair it was sent for
+        pivot, other = cols[0] >> 32, (cols[0] & 0xFFFFFFFF) - 1
+        row, k = np.nonzero(np.where(other[:, None] < 0, near > pivot[:, None], near == other[:, None]))
+        second_pivot = near[row, k]
+        order = np.lexsort((side[row], second_pivot, unit[row]))
+        row, second_pivot = row[order], second_pivot[order]
+        list_key = pivot[row] << 32 | second_pivot
+        starts = np.flatnonzero(np.concatenate([[True], (unit[row][1:] != unit[row][:-1]) | (second_pivot[1:] != second_pivot[:-1])])) if len(row) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(row)) if len(row) else starts
+        ones = np.concatenate([[0], np.cumsum(side[row])])
+        middle = ends - (ones[ends] - ones[starts])
+        whole = cols[1][row[starts]] == cols[2][row[starts]]
+        l1, h1, l2, h2 = starts, np.where(whole, ends, middle), np.where(whole, starts, middle), ends
         which: dict[str, list] = {"node": [], "n": [], "a": [], "b": []}
-        for i, j in linked(t, l1, h1, l2, h2, x):
+        for i, j in linked(l1, h1, l2, h2, x, row):
             for at in range(0, len(i), 1 << 17):
-                p, q = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                where = list_key[i[at : at + (1 << 17)]]
+                p, q = row[i[at : at + (1 << 17)]], row[j[at : at + (1 << 17)]]
                 shared = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
                 rank = np.cumsum(shared, axis=1)
                 first = near[p, np.argmax(rank == 1, axis=1)]
                 second = near[p, np.argmax(rank == 2, axis=1)]
-                mine = (first << 32 | second) == cols[0][p]
+                mine = (first << 32 | second) == where
                 p, q = p[mine], q[mine]
                 which["node"] += [cid[p], cid[q]]
                 which["n"] += [mult[q], mult[p]]
@@ -124,7 +132,6 @@ def _index(classes: DataFrame, n: int, dim: int, threshold: float, nearest: int)
     picked = classes.orderBy(F.xxhash64("vec"), "cid").limit(pivot_count(n)).select("vec").toArrow()  # bounded: MAX_PIVOTS vectors
     pivots = _unit(_matrix(picked["vec"]))
     k = min(nearest, len(pivots))
-    combos = np.array(list(combinations(range(k), 2)), np.int64).reshape(-1, 2)
 
     def describe(batches):
         for batch in batches:
@@ -132,14 +139,19 @@ def _index(classes: DataFrame, n: int, dim: int, threshold: float, nearest: int)
                 continue
             near = np.concatenate([_nearest(part, pivots, k) for part in np.array_split(_unit(_matrix(batch.column("vec"))), max(1, batch.num_rows // 2000))])
             near.sort(axis=1)
-            keys = near[:, combos[:, 0]] << 32 | near[:, combos[:, 1]]
-            offsets = lambda w: pa.array(np.arange(len(near) + 1) * w, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "vec", "mult")), pa.ListArray.from_arrays(offsets(k), pa.array(near.ravel().astype(np.int32))), pa.ListArray.from_arrays(offsets(len(combos)), pa.array(keys.ravel()))], ["cid", "vec", "mult", "pivots", "keys"])
-
-    indexed = stage_table(classes.select("cid", "vec", "mult").mapInArrow(describe, "cid long, vec array<float>, mult long, pivots array<int>, keys array<long>"), "pivots")
-    postings = indexed.select("cid", F.explode("keys").alias("key"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "vec", "mult")), pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * k, pa.int32()), pa.array(near.ravel().astype(np.int32)))], ["cid", "vec", "mult", "pivots"])
+
+    indexed = stage_table(classes.select("cid", "vec", "mult").mapInArrow(describe, "cid long, vec array<float>, mult long, pivots array<int>"), "pivots")
+    first = F.slice("pivots", 1, max(1, k - 1))  # ascending: the largest is nobody's smaller one
+    sizes = indexed.select(F.explode(first).alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n"))
+    big = [r["pivot"] for r in sizes.filter(F.col("n") > BIG).collect()]  # bounded: MAX_PIVOTS
+    high = lambda p: F.shiftleft(p.cast("long"), 32)
+    pairs = lambda p: F.transform(F.filter("pivots", lambda q: q > p), lambda q: high(p) + q + 1)
+    keys = F.flatten(F.transform(first, lambda p: F.when(p.isin(big), pairs(p)).otherwise(F.array(high(p))))) if big else F.transform(first, high)
+    postings = indexed.select("cid", F.explode(keys).alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    units = postings.join(lists, "key").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    parts = F.when(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) == 0, F.lit(1)).otherwise(F.ceil(F.col("n") / PART)).cast("int")
+    units = postings.join(lists, "key").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = units.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), (F.col("salt") > F.col("other")).cast("int").alias("side"), "cid")
     full = units.join(indexed.select("cid", "vec", "mult", "pivots"), "cid")
