@@ -150,6 +150,22 @@ def slow_removal(texts, length):
     return out
 
 
+def test_bitmaps_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(12)
+    ruled_out = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)])) for _ in range(2))
+        shared = len(np.intersect1d(x, y))
+        apart = similar.surely_apart(similar.parity(x), similar.parity(y), len(x), len(y))
+        assert not (apart and similar.alike(shared, len(x), len(y)))
+        ruled_out += apart
+    assert ruled_out > 100
+    none = similar.parity(np.zeros(0, np.uint64))
+    assert not similar.surely_apart(none, none, 0, 0)
+
+
 def awkward_texts():
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdé \n"), n))

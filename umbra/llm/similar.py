@@ -5,7 +5,7 @@ where unrelated texts begin. So its trie join at SIMHASH_BITS only retrieves fir
 its pairs are checked. What it leaves apart is retrieved without loss by prefixes: with all shingles in one global
 order, two sets of n and m that share the 4/9 (n + m) which 0.8 asks for share one among the first n - ceil(0.8 n) + 1
 of theirs. Sets are paired in the list of each such shingle unless their sizes or places rule 0.8 out, or they are in one
-group already. Pairs are checked on the whole sets. Any order is exact; ours puts what a sample shows to be common last.
+group already. Pairs that bitmaps of the sets leave possible are checked on the whole sets. Any order is exact; ours puts what a sample shows to be common last.
 
 Shingles are compared by 64-bit hashes, and rows of equal sets of shingles (a 64-bit hash of the set) are one node.
 """
@@ -45,6 +45,29 @@ def alike(shared, n, m):
     return 9 * shared >= 4 * (n + m)
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set where an odd number of them falls; as many bits as there are hashes
+    or up to twice as many. Bitmaps of two sets differ in no more bits than the sets do in members."""
+    size = 64
+    while size < len(h):
+        size *= 2
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def surely_apart(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether bitmaps alone show that sets of n and m aren't alike: those have at most (n + m) / 9 members apart."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    wide, size = max(len(x), len(y)) * 8, min(len(x), len(y)) * 8
+    while wide > size:  # the wider one is folded: parities of a half add to those of the other
+        wide //= 2
+        mask = (1 << wide) - 1
+        if len(x) > len(y):
+            a = (a & mask) ^ (a >> wide)
+        else:
+            b = (b & mask) ^ (b >> wide)
+    return 9 * (a ^ b).bit_count() > n + m
+
+
 def _distinct(text: str | None, width: int) -> np.ndarray:
     parts = list(shingle_hashes((text or "").encode(), width))
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
@@ -68,12 +91,12 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-BUNDLE = "src long, doc_id array<long>, content array<long>, node array<long>, n array<int>, fp array<long>, prefix binary"
+BUNDLE = "src long, doc_id array<long>, content array<long>, node array<long>, n array<int>, fp array<long>, bits array<binary>, prefix binary"
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """BUNDLE rows of some documents each: doc_id, content (hash of the text), node (hash of the set), n (its size), fp
-    (SimHash), and the prefixes (first shingles) of all documents one after another."""
+    (SimHash), bits (see parity), and the prefixes (first shingles) of all documents one after another."""
     keys, counts = _common(docs, width)
 
     def run(batches):
@@ -81,20 +104,21 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches, "text"):
             if not batch.num_rows:
                 continue
-            nodes, sizes, fps, prefixes = [], [], [], []
+            nodes, sizes, fps, bits, prefixes = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 parts = list(shingle_hashes((t or "").encode(), width))
                 fps.append(fingerprint_of(parts))
                 h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 sizes.append(len(h))
+                bits.append(parity(h))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     h = h[np.argsort(np.where(keys[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[: prefix_length(len(h)) if len(h) else 0].tobytes())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x)
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *map(one, (batch.column("doc_id"), batch.column("content"), longs[0], pa.array(sizes, pa.int32()), longs[1])), pa.array([b"".join(prefixes)], pa.binary())], ["src", "doc_id", "content", "node", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *map(one, (batch.column("doc_id"), batch.column("content"), longs[0], pa.array(sizes, pa.int32()), longs[1], pa.array(bits, pa.binary()))), pa.array([b"".join(prefixes)], pa.binary())], ["src", "doc_id", "content", "node", "n", "fp", "bits", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, BUNDLE)
     return rows.withColumn("src", F.monotonically_increasing_id())
@@ -239,27 +263,46 @@ def _hashed(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.dropDuplicates(["node"]).mapInArrow(run, "node long, h array<long>")
 
 
+def _near(batches):
+    """The pairs whose bitmaps don't rule them out."""
+    for batch in batches:
+        keep = [not surely_apart(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, active: DataFrame, width: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets are alike. Bitmaps rule out most others without loss; only for the rest are the
+    sets themselves made from their texts and compared."""
+    with intermediates(docs.sparkSession):
+        left = active.select(F.col("node").alias("a"), F.col("bits").alias("x"), "n")
+        right = active.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+        pairs = stage_table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_near, "a long, b long"), "near-pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = stage_table(active.join(ends, "node").select("node", "content"), "wanted")
+        return stage_table(_checked(pairs, stage_table(_hashed(docs, wanted, width), "pair-shingles")), "alike", keep=True)
+
+
 def similar_roots(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, content (hash of the text) and root (a node of its group) of every row; null text counts as empty."""
     spark = docs.sparkSession
     bundles = stage_table(shingle_sets(docs, width), "shingle-sets")
-    columns = ("doc_id", "content", "node", "n", "fp")
+    columns = ("doc_id", "content", "node", "n", "fp", "bits")
     rows = bundles.select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")
     placed = _listed(bundles).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n", "node")
     lists = stage_table(placed.mapInArrow(_shared, LISTED), "shared-shingles")
-    active = stage_table(rows.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"), F.min("fp").alias("fp")), "active-sets")
-    sets = stage_table(_hashed(docs, active.select("node", "content"), width), "active-shingles")
+    active = stage_table(rows.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")), "active-sets")
 
     near = connected_components(fingerprint_links(active.select("fp").distinct(), SIMHASH_BITS))
     tied = active.join(near, F.col("fp") == near["node"], "left").select(active["node"], F.coalesce("root", "fp").alias("tie"))
     heads = tied.groupBy("tie").agg(F.min("node").alias("a"))
-    first = stage_table(_checked(tied.join(heads, "tie").filter("node <> a").select("a", F.col("node").alias("b")), sets), "checked-simhash")
+    pairs = tied.join(heads, "tie").filter("node <> a").select("a", F.col("node").alias("b"))
+    first = _verified(docs, stage_table(pairs, "simhash-pairs"), active, width)
     roots = connected_components(first)
 
     grouped = lists.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     placed = grouped.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n")
-    pairs = stage_table(placed.mapInArrow(_candidates, "a long, b long").distinct(), "candidates")
-    second = _checked(pairs, sets)
+    pairs = stage_table(placed.mapInArrow(_candidates, "a long, b long").distinct(), "prefix-pairs")
+    second = _verified(docs, pairs, active, width)
     roots = connected_components(first.unionByName(second))
     return rows.join(roots, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))
 
