@@ -14,6 +14,7 @@ from umbra.operators.providers import RemoteDetector, RuleDetector
 from umbra.plans.planning import Provider, listing_totals
 from umbra.sources import inventory, sinks
 from umbra.sources.archive import read_zip
+from umbra.sources.connection import connect
 from umbra.sources.tables import parse_csv, serialize_csv
 
 
@@ -255,6 +256,20 @@ def test_clipboard_and_noop(spark, tree, tmp_path):
     assert listing(spark, "noop://").count() == 0
 
 
+def test_connections(spark, tree, tmp_path):
+    folder, one = connect(spark, f"{tree}/"), connect(spark, f"file://{tree}/a.txt")
+    assert folder.has_many and folder.accepts_many and not one.has_many and not one.accepts_many
+    assert folder.names().count() == 5 and one.names().count() == 0 and one.read().first()["relative_path"] == "a.txt"
+    assert folder.resolve("x/y").endswith("/src/x/y") and one.resolve("x/y").endswith("/a.txt")
+    assert connect(spark, f"zip://{tmp_path}/z.zip").resolve("e") == f"{tmp_path}/z.zip:e"
+    nothing = connect(spark, "noop://")
+    assert nothing.list().count() == 0 and connect(spark, "clipboard://").list().count() == 0
+    for act in (nothing.read, lambda: nothing.write(None), connect(spark, "clipboard://").read, lambda: connect(spark, "clipboard://").write(None), lambda: connect(spark, "ftp://x")):
+        with pytest.raises(ValueError):
+            act()
+    assert converters.locate("a.txt", ["/none", str(tree)]) == f"{tree}/a.txt" and converters.locate("none", [str(tree)]) is None
+
+
 def test_destinations():
     assert sinks.arrow_uri("s3a://b/k") == "s3://b/k" and sinks.arrow_uri("hdfs://h/k") == "hdfs://h/k" and sinks.arrow_uri("/x") == "/x"
     assert sinks.destination("/r/", "a/b") == "/r/a/b" and sinks.destination("/r", "a/b", single=True) == "/r"

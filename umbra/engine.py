@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,10 +16,10 @@ from umbra.functions.throttle import Bucket, Limit, share
 from umbra.operators import converters as plugins
 from umbra.operators import pictures
 from umbra.operators.providers import Detector
-from umbra.plans.planning import outcome, redact_plan, run_counters
+from umbra.plans.planning import outcome, redact_plan
 from umbra.sources import sinks
-from umbra.sources.archive import write_zip
-from umbra.sources.inventory import Clipboard, clipboard_file, decode_text, first_files, list_files, resolve, root_of, scan, with_verdict
+from umbra.sources.connection import check_cardinality, connect, counted
+from umbra.sources.inventory import Clipboard, decode_text, first_files, with_verdict
 from umbra.sources.tables import read_tables, with_made_headers, write_tables
 
 
@@ -137,39 +136,23 @@ def copy(spark: SparkSession, source: str, dest: str, options: CopyOptions = Cop
     A file is read, redacted and written in one pass; nothing is cached. Which files a limit on their number
     leaves is settled by names alone, before any content is read.
     """
-    kind, where = resolve(source)
-    to_kind, to_where = resolve(dest)
-    on_paths = lambda k: k not in ("zip", "clipboard", "noop")
-    many = kind == "zip" or (on_paths(kind) and root_of(spark, where)[1])
-    to_folder = to_kind == "zip" or (on_paths(to_kind) and root_of(spark, to_where)[1])
-    sinks.check_cardinality(many, to_folder)
-    if "noop" in (kind, to_kind):
-        raise ValueError("noop can neither be read from nor written to")
-    found = clipboard_file(spark, options.clipboard) if kind == "clipboard" else scan(spark, source, content=True)
-    files = with_verdict(found, options.max_size, options.name_glob, options.mime_override)
+    came, goes = connect(spark, source, options.clipboard), connect(spark, dest, options.clipboard)
+    check_cardinality(came, goes)
+    files = with_verdict(came.read(), options.max_size, options.name_glob, options.mime_override)
     if options.match_name_again and options.name_glob:
         files = files.withColumn("verdict", F.when(media.matches_glob(media.filename(F.col("relative_path")), options.name_glob), F.col("verdict")).otherwise("SkippedDueToName"))
     matched = files.filter("verdict = 'Matched'")
-    if many and options.max_files is not None:
+    if came.has_many and options.max_files is not None:
         names = first_files(matched.select("relative_path"), options.max_files)
         matched = matched.join(names, "relative_path", "left_semi").select(matched.columns)
     skipped = files.drop("content").filter("verdict <> 'Matched'").count()
-    done = redact_files(matched, options)
-    if to_kind == "zip":
-        outcomes = write_zip(done, to_where)
-    elif to_kind == "clipboard":
-        outcomes = (options.clipboard or Clipboard()).take(done.first())
-    else:
-        outcomes = None
-        counters = run_counters(sinks.write_files(done, to_where, not to_folder)).first()
-    if outcomes is not None:
-        n = Counter(outcomes)
-        counters = Row(files_copied=n["Copied"] + n["Redacted"], files_redacted=n["Redacted"], files_skipped=n["Skipped"])
-    counters = Row(**(counters.asDict() | {"files_skipped": counters["files_skipped"] + skipped}))
+    counts = counted(goes.write(redact_files(matched, options)))
+    counters = Row(**(counts | {"files_skipped": counts["files_skipped"] + skipped}))
     if report:
         sinks.json_report(counters, report)
     return counters
 
 
 def listing(spark: SparkSession, source: str, max_size: int | None = None, name_glob: str | None = None) -> DataFrame:
-    return list_files(spark, source, max_size, name_glob)
+    """Matched and skipped files of a source with their verdict."""
+    return connect(spark, source).list(max_size, name_glob)

@@ -6,7 +6,8 @@ what isn't registered is missing, and the plan knows it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -54,6 +55,13 @@ def install(codecs: dict | None = None, **parts: Callable) -> Converters:
     return _INSTALLED
 
 
+def locate(name: str, places: Sequence[str]) -> str | None:
+    """The first of the places (folders) that holds name: how a plug-in finds its models or its library, beside the
+    program, in a shared folder or in a cache, before it leaves it to the system."""
+    found = (os.path.join(os.path.expanduser(p), name) for p in places)
+    return next((f for f in found if os.path.exists(f)), None)
+
+
 def _weights(new: int, old: int) -> np.ndarray:
     """Rows of Gaussian weights (deviation half a pixel of the smaller image, cut at 3 pixels)."""
     ratio = old / new

@@ -415,7 +415,7 @@ def strict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_copied(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = files(spark, sf_dir, "text")
-    return made.select("relative_path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("Copied").alias("outcome"))
+    return made.select("relative_path", "media_type", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("Copied").alias("outcome"))
 
 
 _BACK = f"""with {_FILES.replace("from documents)", ", text from documents)")} select relative_path, media_type, strlen({_SAID})::bigint as file_size, sha256({_SAID}) as content_sha256 from files"""

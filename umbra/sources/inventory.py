@@ -75,14 +75,7 @@ def scan(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
 
     Only the folder's own prefix is stripped from paths. Without content the scan reads names and sizes alone.
     """
-    kind, where = resolve(path)
-    if kind in ("noop", "clipboard"):
-        return spark.createDataFrame([], INVENTORY + (", content binary" if content else ""))
-    if kind == "zip":
-        from umbra.sources.archive import read_zip
-
-        entries = read_zip(spark, where)
-        return entries if content else entries.drop("content")
+    _, where = resolve(path)
     root, folder = root_of(spark, where)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
     plain = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")  # noqa: E731  file:/x and file:///x are one
@@ -103,14 +96,6 @@ def first_files(files: DataFrame, limit: int | None) -> DataFrame:
     return files if limit is None else files.orderBy("relative_path").limit(limit)
 
 
-def list_files(spark: SparkSession, path: str, max_size: int | None = None, name_glob: str | None = None) -> DataFrame:
-    """Matched and skipped files with their verdict. A single file as source lists nothing."""
-    kind, where = resolve(path)
-    if kind not in ("zip", "noop", "clipboard") and not root_of(spark, where)[1]:
-        return with_verdict(spark.createDataFrame([], INVENTORY))
-    return with_verdict(scan(spark, path), max_size, name_glob)
-
-
 def decode_text(content: Column) -> tuple[Column, Column]:
     """(text, error): strict UTF-8; bytes that aren't are an error and no text."""
     good = F.is_valid_utf8(content.cast("string"))
