@@ -71,8 +71,18 @@ def test_limits():
 
 def test_bucket(spark):
     limit = Limit(4000, 15)
-    delays = value(spark, throttle.delays(F.array(*[F.lit(0).cast("bigint")] * 17), F.lit(0), limit))
-    assert delays == [0] * 15 + [4000, 4266]
+    bucket = throttle.Bucket(limit, 0)
+    assert [bucket.delay(0) for _ in range(17)] == [0] * 15 + [4000, 4266]
     for now, cap in ((3999, 14), (4001, 14)):
-        c, arrived, _, d = throttle.step(F.lit(15), F.lit(0), F.lit(0), F.lit(now), limit)
-        assert value(spark, F.struct(c.alias("c"), arrived.alias("a"), d.alias("d"))).asDict() == {"c": cap, "a": 0 if now < 4000 else 4000, "d": 0}
+        bucket = throttle.Bucket(limit, 0)
+        assert bucket.delay(now) == 0 and (bucket.cap, bucket.arrived) == (cap, 0 if now < 4000 else 4000)
+
+
+def test_many_requests_of_one_key_stream_through(spark):
+    limit = Limit(4000, 15)
+    rows = [(1, 7 * k % 90_000, k) for k in range(25_000)] + [(2, 0, k) for k in range(17)]
+    got = throttle.stream_delays(spark.createDataFrame(rows, "user int, now long, id long"), "user", "now", "id", limit).collect()
+    assert [r["delay_ms"] for r in sorted((r for r in got if r["user"] == 2), key=lambda r: r["id"])] == [0] * 15 + [4000, 4266]
+    order = sorted((t, k) for u, t, k in rows if u == 1)
+    bucket = throttle.Bucket(limit, order[0][0])
+    assert {r["id"]: r["delay_ms"] for r in got if r["user"] == 1} == {k: bucket.delay(t) for t, k in order}

@@ -1,12 +1,14 @@
-"""Request limits: parsing, and the bucket as a fold over arrival times."""
+"""Request limits: parsing, and the bucket as a fold over arrival times in order."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -28,30 +30,6 @@ def parse_limit(text: str) -> Limit:
     return Limit(per // n, per // (per // n))
 
 
-_STATE = "struct<cap:bigint,arrived:bigint,updated:bigint,delays:array<bigint>>"
-
-
-def step(cap: Column, arrived: Column, updated: Column, now: Column, limit: Limit) -> tuple[Column, Column, Column, Column]:
-    """The next (cap, last arrival, last update) and the delay in ms of a request at now."""
-    rate, most = F.lit(limit.interval_ms).cast("bigint"), F.lit(limit.capacity).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    new = F.floor(F.greatest(now - arrived, zero) / rate).cast("bigint")
-    available = F.least(cap + new, most)
-    wait = F.greatest(rate - (now - updated), zero) + F.floor(rate * F.abs(cap) / most).cast("bigint")
-    return available - 1, arrived + new * rate, now, F.when(available > 0, zero).otherwise(wait)
-
-
-def delays(times_ms: Column, start_ms: Column, limit: Limit) -> Column:
-    """Delays of the requests at times_ms (an ascending array), from a full bucket at start_ms."""
-    first = F.struct(F.lit(limit.capacity).cast("bigint").alias("cap"), start_ms.cast("bigint").alias("arrived"), start_ms.cast("bigint").alias("updated"), F.array().cast("array<bigint>").alias("delays")).cast(_STATE)
-
-    def fold(acc: Column, now: Column) -> Column:
-        cap, arrived, updated, delay = step(acc["cap"], acc["arrived"], acc["updated"], now, limit)
-        return F.struct(cap.alias("cap"), arrived.alias("arrived"), updated.alias("updated"), F.concat(acc["delays"], F.array(delay)).alias("delays")).cast(_STATE)
-
-    return F.aggregate(times_ms, first, fold, lambda acc: acc["delays"])
-
-
 def share(limit: Limit, tasks: int) -> Limit:
     """A task's part of a limit that all tasks of a run keep together."""
     return Limit(limit.interval_ms * max(1, tasks), max(1, limit.capacity // max(1, tasks)))
@@ -70,3 +48,22 @@ class Bucket:
         wait = 0 if available > 0 else max(rate - (now - self.updated), 0) + rate * abs(self.cap) // most
         self.cap, self.arrived, self.updated = available - 1, self.arrived + new * rate, now
         return wait
+
+
+def stream_delays(requests: DataFrame, key: str, time_ms: str, tie: str, limit: Limit) -> DataFrame:
+    """key, tie, delay_ms of requests: a bucket for each key, full at its first request, over its requests in order of
+    time and then of tie. Rows stream through in order, so a key of any number of requests takes constant memory."""
+    names = [key, tie, "delay_ms"]
+    schema = T.StructType([requests.schema[key], requests.schema[tie], T.StructField("delay_ms", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, bucket = object(), None
+        for batch in batches:
+            waits = []
+            for k, now in zip(batch.column(key).to_pylist(), batch.column(time_ms).to_pylist()):
+                if k != who or bucket is None:
+                    who, bucket = k, Bucket(limit, now)
+                waits.append(bucket.delay(now))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(tie), pa.array(waits, pa.int64())], names)
+
+    return requests.repartition(key).sortWithinPartitions(key, time_ms, tie).mapInArrow(run, schema)

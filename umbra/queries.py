@@ -526,9 +526,6 @@ select user_id, event_id, delay_ms from s
 
 @register("throttle_delays", _THROTTLE_SQL)
 def throttle_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bucket for each user over all the user's events: one user's times are one group's work."""
-    events = table(spark, sf_dir, "events").select("user_id", F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("now"), "event_id").alias("e"))
-    grouped = events.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    delays = throttle.delays(F.transform("es", lambda e: e["now"]), F.element_at("es", 1)["now"], _LIMIT)
-    pairs = grouped.select("user_id", F.explode(F.arrays_zip(F.transform("es", lambda e: e["event_id"]).alias("event_id"), delays.alias("delay_ms"))).alias("z"))
-    return pairs.select("user_id", "z.event_id", "z.delay_ms")
+    """A bucket for each user over all the user's events."""
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now"), "event_id")
+    return throttle.stream_delays(events, "user_id", "now", "event_id", _LIMIT)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from umbra.functions.detect import DEFAULT_RULES, Rule, count_matches, replace
-from umbra.functions.throttle import Limit
+from umbra.functions.throttle import Bucket, Limit
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
@@ -34,15 +34,11 @@ def throttle_stream(df: DataFrame, key: str, time_ms: str, limit: Limit) -> Data
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = sorted(t for pdf in pdfs for t in pdf["time_ms"].tolist())
-        cap, arrived, updated = state.get if state.exists else (limit.capacity, times[0], times[0])
-        out = []
-        for now in times:
-            new = max(0, now - arrived) // limit.interval_ms
-            have = min(cap + new, limit.capacity)
-            wait = max(0, limit.interval_ms - (now - updated)) + limit.interval_ms * abs(cap) // limit.capacity
-            out.append(0 if have > 0 else wait)
-            cap, arrived, updated = have - 1, arrived + new * limit.interval_ms, now
-        state.update((cap, arrived, updated))
+        bucket = Bucket(limit, times[0])
+        if state.exists:
+            bucket.cap, bucket.arrived, bucket.updated = state.get
+        out = [bucket.delay(now) for now in times]
+        state.update((bucket.cap, bucket.arrived, bucket.updated))
         yield pd.DataFrame({"key": [k[0]] * len(times), "time_ms": times, "delay_ms": out})
 
     source = df.select(F.col(key).alias("key"), F.col(time_ms).cast("long").alias("time_ms"))
