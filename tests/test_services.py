@@ -115,3 +115,13 @@ def test_installed_services_run_in_a_plan(spark):
     assert [r["t"] for r in d.redact(df, "t").collect()] == ["XXXX!", None]
     pictures = spark.createDataFrame([("a", 0, "image/png", None, None, bytearray(PNG), None)], "relative_path string, page int, media_type string, width double, height double, content binary, error string")
     assert d.redact_pictures(pictures, installed()).first()["error"] == "ms-presidio takes no images"
+
+
+def test_command_line_names_what_it_needs(spark, tmp_path, capsys):
+    from umbra.cli import main
+
+    (tmp_path / "a.txt").write_text("John")
+    assert main(["cp", f"{tmp_path}/a.txt", f"{tmp_path}/b.txt", "-d", "gcp-dlp", "--gcp-project-id", "p"]) == 1
+    assert "transport" in capsys.readouterr().err
+    assert main(["cp", f"{tmp_path}/a.txt", f"{tmp_path}/b.txt", "-d", "open-ai-llm", "--open-ai-api-key", "k"]) == 0  # no network: the file is skipped
+    assert not (tmp_path / "b.txt").exists() and "1 skipped" in capsys.readouterr().out

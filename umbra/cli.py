@@ -9,7 +9,8 @@ from umbra.engine import CopyOptions, copy, listing
 from umbra.functions.detect import ALL_RULES, DEFAULT_RULES, DENIED
 from umbra.functions.media import parse_override
 from umbra.functions.throttle import parse_limit
-from umbra.operators.providers import RuleDetector, check_options, detector
+from umbra.operators import services
+from umbra.operators.providers import RuleDetector, check_options, detector, registered
 from umbra.plans.planning import listing_totals
 from umbra.session import session
 
@@ -67,6 +68,8 @@ def detectors(args: argparse.Namespace) -> list | None:
                 raise ValueError(f"no rule for {', '.join(sorted(unknown))}")
             out.append(RuleDetector([r for r in ALL_RULES if r in DEFAULT_RULES or r.entity in wanted], denied=[d for d in DENIED if d not in wanted]))
         else:
+            if name in services.PLAIN and not registered(name):
+                services.install(name)
             out.append(detector(name, **{o.replace("-", "_"): v for o, v in given.items() if name in REMOTE_OPTIONS[o]}))
     return out
 

@@ -215,12 +215,16 @@ def register(name: str, factory: Callable[..., Detector]) -> None:
     _REGISTRY[name] = factory
 
 
+def registered(name: str) -> bool:
+    return name in _REGISTRY
+
+
 def detector(name: str, **options: object) -> Detector:
-    """A registered detector. The remote providers have no client here: register one to use it."""
+    """A registered detector. A remote provider is registered with a transport: see services.install()."""
     if name in _REGISTRY:
         return _REGISTRY[name](**options)
     if name in PROVIDERS:
-        raise ValueError(f"{name} is a remote service without a client in this installation; register() one")
+        raise ValueError(f"{name} is a remote service; install() it with a transport that may speak to it")
     raise ValueError(f"no detector named {name!r}")
 
 

@@ -261,6 +261,8 @@ FACTORIES = {
     "gcp-dlp": dlp_detector, "aws-comprehend": comprehend_detector, "ms-presidio": presidio_detector, "gemini-llm": gemini_detector,
     "open-ai-llm": open_ai_detector, "gcp-vertex-ai": vertex_detector,
 }
+#: Services that plain HTTP is enough for; the others need requests that are signed or carry a session's token.
+PLAIN = ("ms-presidio", "open-ai-llm")
 
 
 def install(name: str, transport: Callable[[], Transport] = http) -> None:
