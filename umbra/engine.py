@@ -79,13 +79,12 @@ def redact_files(files: DataFrame, options: CopyOptions) -> DataFrame:
         done = ran.withColumn("outcome", outcome(F.col("verdict"), options.detectors is not None, F.col("n_passes"), F.col("error"), options.allow_unsupported_copies))
         return done.withColumn("content", F.when(F.col("outcome") != "Skipped", F.col("content"))).select(out_cols)
 
-    def joined(part: DataFrame, redacted: DataFrame) -> DataFrame:
-        """part with the content and error that redacted (relative_path, content, error) has for each file."""
-        found = redacted.select("relative_path", F.col("content").alias("_new"), F.col("error").alias("_error"))
-        both = part.drop("content", "error").join(found, "relative_path", "left")
-        lost = F.when(F.col("_new").isNull(), F.coalesce("_error", F.lit("nothing came back")))
-        return finish(both.withColumn("error", F.coalesce("_error", lost)).withColumnRenamed("_new", "content"))
+    def returned(redacted: DataFrame) -> DataFrame:
+        """Files that come back as relative_path, content and error, with what was known of them in _file."""
+        lost = F.when(F.col("content").isNull(), F.coalesce("error", F.lit("nothing came back")))
+        return finish(redacted.select("relative_path", "content", F.coalesce("error", lost).alias("error"), "_file.*"))
 
+    known = F.struct("verdict", "media_type", "n_passes").alias("_file")
     text, bad = decode_text(F.col("content"))
     texts = planned.filter("_kind = 'text'").withColumn("error", bad).withColumn("_text", text)
     if options.sample_chars is not None:
@@ -96,30 +95,30 @@ def redact_files(files: DataFrame, options: CopyOptions) -> DataFrame:
 
     by_table = [d for d in detectors if d.provider.table]
     if by_table:
-        tables = planned.filter("_kind = 'table'")
+        tables = planned.filter("_kind = 'table'").select("relative_path", "content", known)
         parsed = read_tables(tables, options.csv_sep, options.csv_header)
         if options.csv_synthetic_header:
             parsed = with_made_headers(parsed)
         for d in by_table:
             parsed = d.redact_tables(parsed)
-        parts.append(joined(tables, write_tables(parsed, options.csv_sep, options.csv_empty_header)))
+        parts.append(returned(write_tables(parsed, options.csv_sep, options.csv_empty_header)))
 
     by_text, by_png = [d for d in detectors if d.provider.text], [d for d in detectors if d.provider.takes_png()]
     if any(d.provider.images for d in detectors) or (able.ocr and by_text):
-        shots = planned.filter("_kind = 'image'")
+        shots = planned.filter("_kind = 'image'").withColumn("_file", known)
         done = []
         # a type that only some providers take goes through those alone
         for names in {tuple(d.provider.name for d in detectors if d.provider.images is True or mime in (d.provider.images or ())) for mime in media.IMAGE_TYPES} - {()}:
             mine = shots.filter(F.concat_ws("\n", "plan.providers") == "\n".join(names)).filter("not plan.apply_ocr")
-            done.append(pictures.redact_by_image(pictures.as_pictures(mine), [d for d in detectors if d.provider.name in names], able))
+            done.append(pictures.redact_by_image(pictures.as_pictures(mine, "_file"), [d for d in detectors if d.provider.name in names], able))
         if able.ocr and by_text:
-            done.append(pictures.redact_by_text(pictures.as_pictures(shots.filter("plan.apply_ocr")), by_text, able))
-        parts.append(joined(shots, _union(done)))
+            done.append(pictures.redact_by_text(pictures.as_pictures(shots.filter("plan.apply_ocr"), "_file"), by_text, able))
+        parts.append(returned(_union(done)))
     if able.has_pdf and (by_png or (able.ocr and by_text)):
-        papers = planned.filter("_kind = 'pdf'")
+        papers = planned.filter("_kind = 'pdf'").select("relative_path", "content", known)
         pages = pictures.split_pages(papers, able)
         pages = pictures.redact_by_image(pages, by_png, able) if by_png else pictures.redact_by_text(pages, by_text, able)
-        parts.append(joined(papers, pictures.merge_pages(pages, able)))
+        parts.append(returned(pictures.merge_pages(pages, able)))
     return _union(parts)
 
 

@@ -1,7 +1,8 @@
 """Images and PDF pages through a plan: recognised, redacted, blacked out and put together again.
 
-A row is a picture: (relative_path, page, media_type, content, error), page 0 for an image file. What fails becomes
-the row's error; nothing is swallowed, and no failure ends a job.
+A row is a picture: PICTURES, page 0 for an image file, and whatever other columns it came with, which are carried
+along. What fails becomes the row's error; nothing is swallowed, and no failure ends a job. Only the pages of a
+document are shuffled, to be put together.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.operators.converters import Converters, Page
 from umbra.operators.images import BOX, MARGINS, black_out, gone_words, ocr_text
@@ -24,52 +26,62 @@ def _rows(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[tuple]:
     return zip(*(batch.column(c).to_pylist() for c in columns))
 
 
+def _with(df: DataFrame, extra: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(extra).fields])
+
+
 def split_pages(files: DataFrame, converters: Converters) -> DataFrame:
-    """PICTURES of PDF files (relative_path, content): their pages as PNG, in order. A file that can't be rendered
-    is one row with its error; a page at a time is sent on."""
+    """PICTURES of PDF files (relative_path, content, others): their pages as PNG, in order. A file that can't be
+    rendered is one row with its error; a page at a time is sent on."""
     split, encode = converters.split_pdf, converters.codecs[_PNG][1]
+    others = files.drop("content")
 
     def run(batches):
         for batch in batches:
-            for path, content in _rows(batch, ("relative_path", "content")):
+            for row, content in enumerate(batch.column("content").to_pylist()):
                 try:
-                    pages = [(k, p.width, p.height, encode(p.pixels), None) for k, p in enumerate(split(content or b""))]
+                    pages = [(k, _PNG, p.width, p.height, encode(p.pixels), None) for k, p in enumerate(split(content or b""))]
                 except Exception as e:
-                    pages = [(0, None, None, None, f"not rendered: {e}")]
-                for k, w, h, data, error in pages:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path, k, _PNG, w, h, data, error), (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.string()))], _NAMES)
+                    pages = [(0, _PNG, None, None, None, f"not rendered: {e}")]
+                for page in pages:
+                    made = [pa.array([x], t) for x, t in zip(page, (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.string()))]
+                    kept = [n for n in batch.schema.names if n != "content"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(row, 1) for n in kept), *made], [*kept, *_NAMES[1:]])
 
-    return files.select("relative_path", "content").mapInArrow(run, PICTURES)
+    pages = files.select(*others.columns, "content").mapInArrow(run, _with(others, PICTURES.split(", ", 1)[1]))
+    return pages.select(*_NAMES, *[c for c in others.columns if c != "relative_path"])
 
 
-def as_pictures(files: DataFrame) -> DataFrame:
-    """PICTURES of image files (relative_path, effective_media_type, content)."""
+def as_pictures(files: DataFrame, *others: str) -> DataFrame:
+    """PICTURES of image files (relative_path, effective_media_type, content), with others."""
     none = F.lit(None)
-    return files.select("relative_path", F.lit(0).alias("page"), F.col("effective_media_type").alias("media_type"), none.cast("double").alias("width"), none.cast("double").alias("height"), "content", none.cast("string").alias("error"))
+    return files.select("relative_path", F.lit(0).alias("page"), F.col("effective_media_type").alias("media_type"), none.cast("double").alias("width"), none.cast("double").alias("height"), "content", none.cast("string").alias("error"), *others)
 
 
 def merge_pages(pictures: DataFrame, converters: Converters) -> DataFrame:
-    """relative_path, content, error of documents put together from their pages in order. A page without content
-    and error is one that a provider answered without an image: it is left out. Any page's error is the file's."""
+    """relative_path, content, error and others of documents put together from their pages in order. A page without
+    content and error is one that a provider answered without an image: it is left out. Any page's error is the file's."""
     decode, merge = converters.codecs[_PNG][0], converters.merge_pdf
-    pages = F.array_sort(F.collect_list(F.struct("page", "width", "height", "content", "error")))
+    others = [c for c in pictures.columns if c not in _NAMES]
+    rows = pictures.groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("page", "width", "height", "content", "error"))).alias("pages"), *[F.first(c).alias(c) for c in others])
 
     def run(batches):
         for batch in batches:
             out, errors = [], []
-            for _, rows in _rows(batch, ("relative_path", "pages")):
-                bad = [r["error"] for r in rows if r["error"] is not None]
+            for pages in batch.column("pages").to_pylist():
+                bad = [r["error"] for r in pages if r["error"] is not None]
                 try:
                     if bad:
                         raise ValueError(bad[0])
-                    out.append(merge([Page(decode(r["content"]), r["width"], r["height"]) for r in rows if r["content"] is not None]))
+                    out.append(merge([Page(decode(r["content"]), r["width"], r["height"]) for r in pages if r["content"] is not None]))
                     errors.append(None)
                 except Exception as e:
                     out.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column("relative_path"), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["relative_path", "content", "error"])
+            kept = [n for n in batch.schema.names if n != "pages"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.binary()), pa.array(errors, pa.string())], [*kept, "content", "error"])
 
-    return pictures.groupBy("relative_path").agg(pages.alias("pages")).mapInArrow(run, "relative_path string, content binary, error string")
+    return rows.mapInArrow(run, _with(rows.drop("pages"), "content binary, error string"))
 
 
 def recognise(pictures: DataFrame, converters: Converters) -> DataFrame:
@@ -90,14 +102,14 @@ def recognise(pictures: DataFrame, converters: Converters) -> DataFrame:
                 except Exception as e:
                     found.append(None)
                     errors[k] = str(e)
-            columns = [pa.array(errors, pa.string()) if c == "error" else batch.column(c) for c in _NAMES]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, box)], [*_NAMES, "words"])
+            columns = [pa.array(errors, pa.string()) if c == "error" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, box)], [*batch.schema.names, "words"])
 
-    return pictures.select(_NAMES).mapInArrow(run, f"{PICTURES}, words array<{BOX}>")
+    return pictures.mapInArrow(run, _with(pictures, f"words array<{BOX}>"))
 
 
 def paint(pictures: DataFrame, converters: Converters, factor: float) -> DataFrame:
-    """Pictures with their boxes (array of BOX) blacked out, encoded as they were."""
+    """Pictures with their boxes (array of BOX, a column that goes) blacked out, encoded as they were."""
     codecs = converters.codecs
 
     def run(batches):
@@ -114,9 +126,10 @@ def paint(pictures: DataFrame, converters: Converters, factor: float) -> DataFra
                 except Exception as e:
                     out[k], errors[k] = None, str(e)
             made = {"content": pa.array(out, pa.binary()), "error": pa.array(errors, pa.string())}
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in _NAMES], _NAMES)
+            kept = [n for n in batch.schema.names if n != "boxes"]
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in kept], kept)
 
-    return pictures.select(*_NAMES, "boxes").mapInArrow(run, PICTURES)
+    return pictures.mapInArrow(run, pictures.drop("boxes").schema)
 
 
 def redact_by_text(pictures: DataFrame, detectors: Sequence, converters: Converters) -> DataFrame:
@@ -125,7 +138,7 @@ def redact_by_text(pictures: DataFrame, detectors: Sequence, converters: Convert
     for d in detectors:
         seen = d.redact(seen, "_text")
     boxes = F.when(F.col("_text").isNotNull(), gone_words(F.col("words"), F.col("_text")))
-    return paint(seen.withColumn("boxes", boxes), converters, MARGINS["ocr"])
+    return paint(seen.withColumn("boxes", boxes).drop("words", "_text"), converters, MARGINS["ocr"])
 
 
 def redact_by_image(pictures: DataFrame, detectors: Sequence, converters: Converters) -> DataFrame:
