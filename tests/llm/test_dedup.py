@@ -89,7 +89,7 @@ TEXTS = [
 
 
 def test_simhash_edges_against_brute_force(spark):
-    df = frame(spark, TEXTS + TEXTS[:2], list(range(len(TEXTS))) + [0, None])
+    df = frame(spark, TEXTS + TEXTS[:2], list(range(len(TEXTS))) + [0, None]).withColumns({c: F.lit("mine") for c in ("fingerprint", "component_id", "fp", "root", "node", "content")})
     rows = simhash.simhash_components(df).collect()
     texts, ids = TEXTS + TEXTS[:2], list(range(len(TEXTS))) + [0, None]
     fps = np.array([slow_fingerprint(t, 4) for t in texts], np.uint64)
@@ -100,6 +100,21 @@ def test_simhash_edges_against_brute_force(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
 
 
+def test_dense_groups_do_not_hold_their_pairs(spark, monkeypatch):
+    """All fingerprints within two bits of one: far more pairs than fingerprints, contracted as they come."""
+    base = 0x0123456789ABCDEF
+    near = [base] + [base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)]
+    far = [base ^ 0xFFFF0000FFFF0000, base ^ 0xFFFF0000FFFF0001]
+    monkeypatch.setattr(simhash, "PAIRS", 1000)
+    keys = np.sort(np.array(near + far, np.uint64))
+    both = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), keys.view(np.int64))], ["choice", "key", "i", "j", "side", "fp"])
+    made = pa.Table.from_batches(list(simhash._join_units(iter([both]), [()], simhash.split_bits(4), 4)))
+    assert made.num_rows < len(keys)
+    root = dict(zip(made["a"].to_pylist(), made["b"].to_pylist()))
+    top = {root.get(int(np.uint64(k).view(np.int64)), int(np.uint64(k).view(np.int64))) for k in near}
+    assert len(top) == 1
+
+
 def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one_of_each(frame(spark, [TEXTS[0], TEXTS[1], "other words stand here now", TEXTS[0], None, ""], [7, 3, 9, 3, 5, 5]), width=5)
     assert kept.columns == ["doc_id", "text", "source", "n_chars"]
