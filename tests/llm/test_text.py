@@ -228,7 +228,7 @@ def test_gradients_by_differences():
 
 def test_language_cases_and_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    net = langid.fit(docs, documents=100, words=3000, epochs=3)
+    net = langid.fit(docs, documents=100, windows=500, epochs=6)
     found = langid.predict_languages(docs, net).withColumn("held", langid.held_out(F.col("doc_id"))).filter("held and lang is not null")
     rows = found.collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows) > 20
@@ -245,9 +245,20 @@ def test_language_cases_and_accuracy(spark, sf):
     assert langid.predict_languages(frame(spark, []), net).count() == 0
 
 
-def test_states_start_anew_at_each_word():
-    net = langid.Network(["a", "b"])
-    lab = langid.Labeller(net)
-    _, together = lab.predict(pa.array(["abc defgh"]))
-    p = [net.label(np.frombuffer(b" " + w, np.uint8).reshape(1, -1).T).sum(axis=(0, 1)) for w in (b"abc", b"defgh")]
-    assert together[0] == pytest.approx((p[0] + p[1]).max() / 10, abs=1e-6)
+def test_windows_are_read_across_words_and_pooled():
+    net = langid.Network(["a", "b", "c"], seed=3)
+    texts = ["Ab c\n" * 30, None, "é" * 100, "x", ""]
+    langs, scores = langid.predict(net, pa.array(texts))
+
+    def read(window):
+        x = np.frombuffer(window.ljust(langid.WINDOW), np.uint8)[:, None]
+        states = np.concatenate([net._pass(x, "f", False)[0], net._pass(x, "b", False)[0]], axis=2)
+        return net._softmax(states @ net.params["w"] + net.params["c"])[: len(window), 0]
+
+    for text, lang, score in zip(texts, langs, scores):
+        raw = (text or "").encode().lower().replace(b"\n", b" ")
+        if not raw:
+            assert (lang, score) == ("und", 0)
+            continue
+        p = np.concatenate([read(raw[k : k + langid.WINDOW]) for k in range(0, len(raw), langid.WINDOW)]).mean(axis=0)
+        assert lang == net.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)

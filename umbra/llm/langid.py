@@ -1,10 +1,10 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads a word as a blank and its bytes, once from either side, and labels every position with
-probabilities of the languages; a document's probabilities are the mean over all positions of all its words.
-States start anew at each word, so equal words have equal labels and a worker computes each distinct word
-once. Words are runs of other than ASCII white space, A-Z lower-cased; longer ones are read in pieces of
-MAX_WORD bytes. Training is backpropagation through time with Adam over a bounded sample of labelled words.
+A document is read whole, as bytes with A-Z lower-cased and white space as blanks, in windows of WINDOW bytes. The
+network reads each window from either side, across words, and labels every position with probabilities of the
+languages; a document's probabilities are the mean over all its positions. States start anew at each window, which
+bounds memory and lets all windows of a batch be read at once; the last window of a document is filled up with blanks,
+which don't count. Training is backpropagation through time with Adam over a bounded sample of labelled windows.
 """
 
 from __future__ import annotations
@@ -17,15 +17,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import slices, text_buffer, worker_slot
+from umbra.llm.common import ragged, release_slot, slices, text_buffer
 
-MAX_WORD = 32
-#: The bounded sample: about so many documents and so many words of each language.
+WINDOW = 64
+#: The bounded sample: about so many documents and so many windows of each language.
 TRAIN_DOCUMENTS = 400
-TRAIN_WORDS = 12_000
+TRAIN_WINDOWS = 2000
 HIDDEN = 16
-#: Words that a worker remembers; beyond that only those met in two batches at least stay.
-MEMO_WORDS = 300_000
+#: Windows that are read at once.
+BATCH = 1024
+#: What the network reads for each byte.
+_READ = np.arange(256, dtype=np.uint8)
+_READ[65:91] += 32
+_READ[[9, 10, 11, 12, 13]] = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -63,9 +67,37 @@ class Network:
         return states, saved
 
     def label(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (T, B, languages) at every position of the equally long words x (T, B)."""
-        states = np.concatenate([self._pass(x, "f", False)[0], self._pass(x, "b", False)[0]], axis=2)
-        return self._softmax(states @ self.params["w"] + self.params["c"])
+        """Probabilities (T, languages, B) at every position of the windows x (T, B). The same states as those of
+        _pass(), laid out so that each gate's units lie together."""
+        size, (steps, n) = self.hidden, x.shape
+        at = x.astype(np.int64)
+        logits = np.empty((steps, len(self.langs), n), np.float32)
+        logits[:] = self.params["c"][:, None]
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), size)  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        rec, inp, said = np.empty((3 * size, n), np.float32), np.empty((3 * size, n), np.float32), np.empty((len(self.langs), n), np.float32)
+        for d, w in (("f", self.params["w"][:size]), ("b", self.params["w"][size:])):
+            table, u, w = (np.ascontiguousarray(m.T, np.float32) for m in (self.params[f"x{d}"] * half, self.params[f"u{d}"] * half, w))
+            h = np.zeros((size, n), np.float32)
+            gates, new = rec[: 2 * size], rec[2 * size :]
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.take(table, at[t], axis=1, out=inp, mode="clip")
+                np.matmul(u, h, out=rec)
+                gates += inp[: 2 * size]
+                np.tanh(gates, out=gates)
+                gates += 1
+                gates *= 0.5
+                new *= gates[size:]
+                new += inp[2 * size :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= gates[:size]
+                h += new
+                np.matmul(w, h, out=said)
+                logits[t] += said
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -73,7 +105,7 @@ class Network:
         return e / e.sum(axis=-1, keepdims=True)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions of words x (T, B) with languages y (B), and its gradients."""
+        """Mean cross-entropy over positions of windows x (T, B) with languages y (B), and its gradients."""
         passes = {d: self._pass(x, d, True) for d in ("f", "b")}
         states = np.concatenate([passes["f"][0], passes["b"][0]], axis=2)
         p = self._softmax(states @ self.params["w"] + self.params["c"])
@@ -102,136 +134,68 @@ class Network:
             grads[f"u{d}"], grads[f"x{d}"] = d_u, d_x
         return loss, grads
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 11) -> list[float]:
-        """Adam over batches of equally long words; the mean loss of each epoch."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 11) -> list[float]:
+        """Adam over batches of windows (a row each); the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        groups = {n: (np.frombuffer(b"".join(b" " + words[k] for k in ks), np.uint8).reshape(len(ks), n + 1).T, labels[ks]) for n, ks in by_length.items()}
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         v = {k: np.zeros_like(x) for k, x in self.params.items()}
         step, losses = 0, []
         for epoch in range(epochs):
-            parts = [(n, at) for n, (x, _) in groups.items() for at in np.array_split(rng.permutation(x.shape[1]), -(-x.shape[1] // batch))]
-            total, seen = 0.0, 0
-            for k in rng.permutation(len(parts)):
-                n, at = parts[k]
-                x, y = groups[n]
-                loss, grads = self.gradients(x[:, at], y[at])
-                total, seen, step = total + loss * len(at), seen + len(at), step + 1
+            total = 0.0
+            for at in np.array_split(rng.permutation(len(windows)), max(1, -(-len(windows) // batch))):
+                loss, grads = self.gradients(windows[at].T, labels[at])
+                total, step = total + loss * len(at), step + 1
                 now = rate * (1 - epoch / epochs)
                 for name, g in grads.items():
                     m[name] += 0.1 * (g - m[name])
                     v[name] += 0.001 * (g * g - v[name])
                     self.params[name] -= now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-            losses.append(total / max(1, seen))
+            losses.append(total / max(1, len(windows)))
         return losses
 
     def digest(self) -> str:
         return hashlib.sha256(b"".join(v.tobytes() for v in self.params.values()) + repr(self.langs).encode()).hexdigest()
 
 
-class Labeller:
-    """Sums of position probabilities of words, each distinct word computed once while it is remembered."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self._reset()
-
-    def _reset(self) -> None:
-        self.memo: dict[bytes, int] = {b"": 0}
-        self.sums = np.zeros((1 << 14, len(self.net.langs)), np.float32)
-        self.places = np.zeros(1 << 14, np.int64)
-        self.met = np.zeros(1 << 14, np.uint8)
-
-    def _prune(self) -> None:
-        wanted = self.met[: len(self.memo)] > 1
-        wanted[0] = True
-        kept = np.flatnonzero(wanted)
-        if len(kept) > MEMO_WORDS // 2:
-            self._reset()
-            return
-        number = np.cumsum(wanted) - 1
-        self.memo = {w: int(number[k]) for w, k in self.memo.items() if wanted[k]}
-        self.sums, self.places, self.met = self.sums[kept], self.places[kept], np.ones(len(kept), np.uint8)
-
-    def _compute(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, owner = [], []
-        for k, w in enumerate(words):
-            if len(w) <= MAX_WORD:
-                pieces.append(w), owner.append(k)
-            else:
-                for at in range(0, len(w), MAX_WORD):
-                    pieces.append(w[at : at + MAX_WORD]), owner.append(k)
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sums, places = np.zeros((len(words), len(self.net.langs)), np.float32), np.zeros(len(words), np.int64)
-        owner = np.array(owner)
-        for n in np.unique(lens):
-            mine = np.flatnonzero(lens == n)
-            for at in range(0, len(mine), 4096):
-                part = mine[at : at + 4096]
-                x = np.frombuffer(b"".join(b" " + pieces[k] for k in part.tolist()), np.uint8).reshape(len(part), n + 1).T
-                np.add.at(sums, owner[part], self.net.label(x).sum(axis=0))
-                np.add.at(places, owner[part], n + 1)
-        return sums, places
-
-    def lookup(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self._prune()
-        found = list(map(self.memo.get, words))
-        missing = [w for w, k in zip(words, found) if k is None]
-        if missing:
-            first, n = len(self.memo), len(missing)
-            while first + n > len(self.places):
-                self.sums, self.places, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.places, self.met))
-            self.sums[first : first + n], self.places[first : first + n] = self._compute(missing)
-            self.memo.update(zip(missing, range(first, first + n)))
-            found = list(map(self.memo.__getitem__, words))
-        index = np.fromiter(found, np.int64, len(found))
-        self.met[index] = np.minimum(self.met[index], 1) + 1  # a batch asks for a word once
-        return index
-
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and pooled probability of each text; und and 0 for texts without a letter."""
-        if not self.net.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        texts = pc.fill_null(texts, "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        words = lists.flatten().dictionary_encode()
-        data, ends = text_buffer(words.dictionary)
-        raw, ends = data.tobytes(), ends.tolist()
-        index = self.lookup([raw[a:b] for a, b in zip(ends, ends[1:])])
-        index = index[np.asarray(words.indices, np.int64)] if len(words) else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))]).astype(np.int64)
-        pooled = np.zeros((len(texts), len(self.net.langs)))
-        filled = np.flatnonzero(np.diff(offsets))
-        if len(filled):
-            at = offsets[:-1][filled]
-            for k in range(len(self.net.langs)):
-                pooled[filled, k] = np.add.reduceat(self.sums[index, k].astype(np.float64), at)
-            pooled[filled] /= np.maximum(np.add.reduceat(self.places[index], at), 1)[:, None]
-        letter = np.asarray(pc.match_substring_regex(texts, r"\p{L}"), bool) if len(texts) else np.zeros(0, bool)
-        best = pooled.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
-        known = letter & (pooled.sum(axis=1) > 0)
-        return [self.net.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.clip(pooled[np.arange(len(texts)), best], 0, 1), 0.0)
-
-
-def _labeller(net: Network) -> Labeller:
-    return worker_slot(("labeller", net.digest()), lambda: Labeller(net))
-
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, document of each, bytes of it that count) of documents' bytes; a last window is filled with blanks."""
+    size = np.diff(offsets)
+    many = -(-size // WINDOW)
+    owner = np.repeat(np.arange(len(size)), many)
+    first = offsets[:-1][owner] + ragged(np.zeros(len(size), np.int64), many) * WINDOW
+    real = np.minimum(offsets[1:][owner] - first, WINDOW)
+    out = np.full((len(owner), WINDOW), 32, np.uint8)
+    out[np.arange(WINDOW) < real[:, None]] = _READ[data[: offsets[-1]]]
+    return out, owner, real
+
+
+def predict(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and pooled probability of each text; und and 0 for texts without a letter."""
+    if not net.langs or not len(texts):
+        return ["und"] * len(texts), np.zeros(len(texts))
+    texts = pc.fill_null(texts, "")
+    data, offsets = text_buffer(texts)
+    windows, owner, real = windows_of(data, offsets)
+    pooled = np.zeros((len(texts), len(net.langs)))
+    for at in range(0, len(windows), BATCH):
+        part = slice(at, at + BATCH)
+        p = net.label(np.ascontiguousarray(windows[part].T))
+        p *= (np.arange(WINDOW)[:, None] < real[part])[:, None, :]
+        np.add.at(pooled, owner[part], p.sum(axis=0, dtype=np.float64).T)
+    pooled /= np.maximum(np.diff(offsets), 1)[:, None]
+    known = np.asarray(pc.match_substring_regex(texts, r"\p{L}"), bool)
+    best = pooled.argmax(axis=1)
+    return [net.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, np.clip(pooled[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS, hidden: int = HIDDEN, epochs: int = 5) -> Network:
+def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, windows: int = TRAIN_WINDOWS, hidden: int = HIDDEN, epochs: int = 6) -> Network:
     """A network trained on the labelled, not held-out rows of docs (doc_id, text, lang).
 
-    Of each language about `documents` rows, by a hash of doc_id, and of these about `words` words, by a hash of
+    Of each language about `documents` rows, by a hash of doc_id, and of these about `windows` windows, by a hash of
     row and place, come to the driver; a language with fewer gives all. No labelled rows: a network without
     languages, which calls everything und.
     """
@@ -247,20 +211,17 @@ def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WO
         return column < F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("lang"))
 
     rows = labelled.filter(below(draw(F.lit("d"), "doc_id"), {k: share(documents, n) for k, n in counts.items()}))
-    spread = rows.select("lang", "doc_id", F.posexplode(F.split(F.translate("text", UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+")).alias("at", "word")).filter("word <> ''").persist()
+    places = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WINDOW).cast("int")), lambda k: F.substring("text", k * WINDOW + 1, F.lit(WINDOW)))
+    spread = rows.filter(F.length("text") > 0).select("lang", "doc_id", F.posexplode(places).alias("at", "said")).persist()
     totals = {r["lang"]: r["n"] for r in spread.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    sample = spread.filter(below(draw(F.lit("w"), "doc_id", "at", "word"), {k: share(words, n) for k, n in totals.items()})).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    got = sorted((r["lang"], r["word"], r["n"]) for r in sample.collect())  # bounded: languages x words
+    sample = spread.filter(below(draw(F.lit("w"), "doc_id", "at"), {k: share(windows, n) for k, n in totals.items()}))
+    got = sorted((r["lang"], r["doc_id"], r["at"], r["said"]) for r in sample.select("lang", "doc_id", "at", "said").collect())  # bounded: languages x windows
     spread.unpersist()
     net = Network(langs, hidden)
-    texts, labels = [], []
-    for lang, word, n in got:
-        b = word.encode()
-        for piece in (b[at : at + MAX_WORD] for at in range(0, len(b), MAX_WORD)):
-            texts += [piece] * n
-            labels += [langs.index(lang)] * n
-    if texts:
-        net.train(texts, np.array(labels), epochs)
+    if got:
+        raw = [said.encode()[:WINDOW] for *_, said in got]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        net.train(windows_of(np.frombuffer(b"".join(raw), np.uint8), offsets)[0], np.array([langs.index(lang) for lang, *_ in got]), epochs)
     return net
 
 
@@ -274,9 +235,9 @@ def predict_languages(docs: DataFrame, net: Network) -> DataFrame:
     schema = base.schema
 
     def run(batches):
-        labeller = _labeller(net)
+        release_slot()
         for batch in slices(batches, "text"):
-            langs, scores = labeller.predict(batch.column("text"))
+            langs, scores = predict(net, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
@@ -285,11 +246,11 @@ def predict_languages(docs: DataFrame, net: Network) -> DataFrame:
     return base.mapInArrow(run, out)
 
 
-def keep_known_languages(docs: DataFrame, net: Network | None = None, margin: float = 0.03) -> DataFrame:
+def keep_known_languages(docs: DataFrame, net: Network | None = None, margin: float = 0.01) -> DataFrame:
     """docs, their columns and no others, without the rows whose language the network can't tell.
 
     These are null texts, texts without a letter, and texts whose pooled probability lies within `margin` of the way
-    from an even spread over the languages to certainty; at 0.03 only texts on which the network has no opinion (with
+    from an even spread over the languages to certainty; at 0.01 only texts on which the network has no opinion (with
     a single language learned there is no such text). Where docs has a
     column lang, a null there becomes the predicted language. Where nothing could be learned (no labelled rows), every
     text with a letter stays. Columns lang_pred and score of docs itself are left alone.
