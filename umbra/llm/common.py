@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -140,6 +141,11 @@ def worker_slot(key: object, make):
     """The one large object that a Python worker keeps between tasks; another key's object is let go first."""
     if _SLOT[0] != key:
         _SLOT[0] = _SLOT[1] = None
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # what lies freed between live blocks, left by other operators
+        except (OSError, AttributeError):
+            pass
         _SLOT[1] = make()
         _SLOT[0] = key
     return _SLOT[1]

@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     def cut(batches):
         enc = encoder(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 3 << 20):
             docs_, pieces, starts, lengths, crcs = [], [], [], [], []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(batch.column("text"))):
                 raw = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4")).cast("B")
