@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from umbra.llm import chat, packing, queries
+from umbra.llm.common import small_batches
 from umbra.llm.sharding import CommitConflict, ShardStore
 from umbra.llm.tokens import Encoder
 
@@ -141,3 +142,24 @@ def test_sharding_runs_no_python(spark, sf):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     assert out.select("doc_id", "text_sha256").exceptAll(docs).count() == 0 and out.count() == docs.count()
+
+
+def test_packing_sends_small_batches(spark, monkeypatch):
+    name, staged = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    was, stage = spark.conf.get(name), packing.stage_table
+
+    def watched(df, label):
+        staged[label] = int(spark.conf.get(name).rstrip("b"))
+        return stage(df, label)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    monkeypatch.setattr(packing, "stage_table", watched)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 500)").alias("text"))
+    assert packing.pack_documents(docs, WORD_BPE, 4096).count() == 3000
+    assert staged["pieces"] == packing.BATCH <= packing.SLICE and spark.conf.get(name) == was
+    with small_batches(spark, packing.BATCH):
+        got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 7_500_000 and max(got) <= packing.SLICE

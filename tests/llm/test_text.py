@@ -262,3 +262,13 @@ def test_windows_are_read_across_words_and_pooled():
             continue
         p = np.concatenate([read(raw[k : k + langid.WINDOW]) for k in range(0, len(raw), langid.WINDOW)]).mean(axis=0)
         assert lang == net.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
+
+
+def test_an_encoder_at_rest_holds_no_words():
+    enc, lib = tokens.Encoder(WORD_BPE), tokens.Encoder(WORD_BPE, False)
+    text = pa.array([" ".join(f"w{k} the" for k in range(20_000))])
+    for _ in range(2):
+        assert [x.tolist() for x in enc.ids(text)] == [x.tolist() for x in lib.ids(text)]
+        assert len(enc.memo) > 20_000
+        enc.rest()
+        assert len(enc.memo) == 1 and max(len(x) for x in (enc.flat, enc.starts, enc.lens, enc.met)) <= 1 << 16

@@ -84,6 +84,19 @@ def stage_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """What is planned within sends Python batches of about limit bytes: by default 10,000 rows of any width, which JVM and
+    worker both hold, are bounded by 64 MB only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,17 +150,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _SLOT: list = [None, None]
 
 
+def give_back() -> None:
+    """Have what lies freed between live blocks go back to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def worker_slot(key: object, make):
     """The one large object that a Python worker keeps between tasks; another key's object is let go first."""
     if _SLOT[0] != key:
         _SLOT[0] = _SLOT[1] = None
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # what lies freed between live blocks, left by other operators
-        except (OSError, AttributeError):
-            pass
+        give_back()
         _SLOT[1] = make()
         _SLOT[0] = key
+        gc.collect()  # what making it took, a parsed vocabulary for one
+        give_back()
     return _SLOT[1]
 
 

@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import slices, stage_table
+from umbra.llm.common import slices, small_batches, stage_table
 from umbra.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one task packs at a time, and the share of a group's bins that may be dissolved for the next round.
 GROUP_PIECES = 40_000
+#: Bytes of documents that are sent to a worker, and encoded, at a time.
+BATCH, SLICE = 5 << 19, 3 << 20
 DISSOLVE = 0.02
 
 
@@ -60,9 +62,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     def cut(batches):
         enc = encoder(tokenizer_path)
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", SLICE):
             docs_, pieces, starts, lengths, crcs = [], [], [], [], []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(batch.column("text"))):
+            ids_, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            del batch  # else two batches are held when the next one comes
+            for doc, ids in zip(ids_, enc.ids(texts)):
                 raw = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4")).cast("B")
                 n = len(raw) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
@@ -70,6 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
                     docs_.append(doc), pieces.append(piece), starts.append(start), lengths.append(stop - start)
                     crcs.append(zlib.crc32(raw[4 * start : 4 * stop]))
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -111,7 +116,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     possibly shorter one. Offsets within a sequence are gapless from 0. A group takes the memory of its
     rows' five numbers.
     """
-    pieces = stage_table(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    with small_batches(docs.sparkSession, BATCH):
+        pieces = stage_table(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     done: list[DataFrame] = []
     level = 0

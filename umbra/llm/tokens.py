@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import block_count, ragged, slices, stage_path, stage_table, text_buffer, worker_slot
+from umbra.llm.common import block_count, give_back, ragged, slices, stage_path, stage_table, text_buffer, worker_slot
 
 #: A pre-tokenizer of this form matches no white space and drops what it doesn't match.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -99,6 +99,12 @@ class Encoder:
         self.n_flat = 0
         self.met = np.zeros(1 << 14, np.uint8)
 
+    def rest(self) -> None:
+        """Forget all words when a task ends: workers that wait hold memory beside those that work, and an operator that
+        ran before may have left more workers than there are cores."""
+        self._reset()
+        give_back()
+
     def _prune(self) -> None:
         keep = np.flatnonzero(self.met[: len(self.memo)] > 1)
         if not 0 < len(keep) < MEMO_WORDS // 2:
