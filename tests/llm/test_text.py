@@ -264,6 +264,26 @@ def test_windows_are_read_across_words_and_pooled():
         assert lang == net.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
 
 
+def test_plain_words_are_cut_here_and_equal_the_library(monkeypatch):
+    enc, lib = tokens.Encoder(WORD_BPE), tokens.Encoder(WORD_BPE, False)
+    latin = [chr(c) for c in range(0xC0, 0x180) if tokens._PLAIN.fullmatch(chr(c))]
+    ascii_ = [chr(c) for c in range(0x21, 0x7F)]
+    words = [f"{a}x{a}'s{a}{b}" for a in latin for b in "é9'!"] + [f"{a}{b}'re{a}'lle" for a in ascii_ for b in ascii_] + ["''s", "'s's", "!'s", "9's", "ŉa", "İb", "ǆ", "éa", "ſ", "a b", "½x", "日本's"]
+    went: list[str] = []
+    whole = enc._library
+    monkeypatch.setattr(enc, "_library", lambda texts: went.extend(texts) or whole(texts))
+    text = pa.array([" ".join(words[k : k + 50]) for k in range(0, len(words), 50)])
+    assert [x.tolist() for x in enc.ids(text)] == [x.tolist() for x in lib.ids(text)]
+    assert all(not tokens._PLAIN.fullmatch(w) for w in went) and 6 <= len(went) <= 20
+
+
+@pytest.mark.parametrize("run", [1, 7])
+def test_ids_are_put_together_some_words_at_a_time(monkeypatch, run):
+    monkeypatch.setattr(tokens, "RUN_WORDS", run)
+    text = pa.array(["", "a b c d e f g h i j", None, "k", " ", "<|endoftext|> l", "m n o p", "q r s"])
+    assert [x.tolist() for x in tokens.Encoder(WORD_BPE).ids(text)] == [x.tolist() for x in tokens.Encoder(WORD_BPE, False).ids(text)]
+
+
 def test_an_encoder_at_rest_holds_no_words():
     enc, lib = tokens.Encoder(WORD_BPE), tokens.Encoder(WORD_BPE, False)
     text = pa.array([" ".join(f"w{k} the" for k in range(20_000))])

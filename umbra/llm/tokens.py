@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,8 +24,15 @@ from umbra.llm.common import block_count, give_back, ragged, slices, stage_path,
 
 #: A pre-tokenizer of this form matches no white space and drops what it doesn't match.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words that the pre-tokenizer is followed on here, not in the library: of visible ASCII and of letters that no Unicode version,
+#: composition or case folding treats apart, and the parts it cuts them into.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{_LATIN}]+|[0-9]|[^A-Za-z0-9{_LATIN}]+")
 #: Words whose ids a worker remembers; beyond that only those met in two batches at least stay, so memory is bounded.
 MEMO_WORDS = 300_000
+#: Words whose ids are put together at a time; a longer text's at once.
+RUN_WORDS = 1 << 16
 #: Bytes of documents whose distinct digests one task remembers.
 DIGEST_BYTES = 64 << 20
 
@@ -45,7 +53,10 @@ def word_wise(path: str) -> bool:
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        return _word_wise(json.load(f))
+
+
+def _word_wise(spec: dict) -> bool:
     norm = spec.get("normalizer") or {}
     parts = norm.get("normalizers", [norm]) if norm else []
     pre = spec.get("pre_tokenizer") or {}
@@ -63,11 +74,27 @@ def word_wise(path: str) -> bool:
     )
 
 
+def _by_part(spec: dict) -> bool:
+    """Whether a word's ids are those that the model gives its _PARTS, one after another, as visible characters for bytes."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return len(parts) == 2 and parts[1].get("type") == "ByteLevel" and parts[1].get("add_prefix_space") is False and parts[1].get("use_regex") is False and spec.get("post_processor") is None
+
+
+def _visible_bytes() -> list[str]:
+    """The character by which a ByteLevel pre-tokenizer shows each byte: itself where it is visible, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shown = dict(zip(seen, map(chr, seen)))
+    for b in range(256):
+        shown.setdefault(b, chr(0x100 + len(shown) - len(seen)))
+    return [shown[b] for b in range(256)]
+
+
 class Encoder:
     """Ids of whole texts as the library gives them, without added special tokens.
 
     Where word_wise() holds, a batch is cut into words in Arrow, dictionary-encoded, and only words not
-    met before go to the library; all else goes there whole.
+    met before go to the library; all else goes there whole. Of a word not met before that is _PLAIN,
+    the library's model alone gets the parts: the way there and back costs more than the merging.
     """
 
     def __init__(self, path: str, word_path: bool | None = None):
@@ -88,7 +115,10 @@ class Encoder:
                 spec = json.load(f)
             self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
             self.special = sorted({t["content"][:2] for t in spec.get("added_tokens", [])})
-        self.by_word = word_wise(path) if word_path is None else word_path
+        known = not self.sentencepiece and _word_wise(spec)
+        self.by_word = known if word_path is None else word_path
+        self.by_part = self.by_word and known and _by_part(spec)
+        self.shown = _visible_bytes()
         self._reset()
 
     def _reset(self) -> None:
@@ -125,6 +155,28 @@ class Encoder:
             return self.lib.encode(texts, num_threads=1) if texts else []
         return [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of words without ASCII white space. A text that holds an added token isn't cut into words."""
+        texts = [w.decode() for w in words]
+        flat: list[int] = []  # one list: the garbage collector walks every list that a word would get
+        lens: list[int] = []
+        plain = _PLAIN.fullmatch if self.by_part else lambda text: None
+        others = iter(self._library([t for t in texts if not plain(t)]))
+        model, shown, parts = None if self.sentencepiece else self.lib.model.tokenize, self.shown, _PARTS.findall
+        of_part: dict[str, tuple[int, ...]] = {}
+        for text in texts:
+            before = len(flat)
+            if plain(text):
+                for part in parts(text.lower() if self.lower else text):
+                    ids = of_part.get(part)
+                    if ids is None:
+                        ids = of_part[part] = tuple([t.id for t in model(part if part.isascii() else "".join([shown[b] for b in part.encode()]))])
+                    flat += ids
+            else:
+                flat += next(others)
+            lens.append(len(flat) - before)
+        return np.array(lens, np.int64), np.array(flat, np.uint32)
+
     def _lookup(self, words: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
@@ -134,9 +186,7 @@ class Encoder:
         missing = [w for w, k in zip(words, found) if k is None]
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            ids = self._library([w.decode() for w in part])
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lens.sum()))
+            lens, flat = self._word_ids(part)
             first, n = len(memo), len(part)
             while first + n > len(self.starts):
                 self.starts, self.lens, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.met))
@@ -192,12 +242,17 @@ class Encoder:
                 yield np.array(one, np.uint32)
             return
         index, offsets = self._words(texts)
-        lens = self.lens[index]
-        flat = self.flat[ragged(self.starts[index], lens)]
-        sums = np.concatenate([[0], np.cumsum(lens)])
         special = set(self._special_rows(texts).tolist())
-        for k in range(len(texts)):
-            yield np.array(self._library([texts[k].as_py()])[0], np.uint32) if k in special else flat[sums[offsets[k]] : sums[offsets[k + 1]]]
+        a = 0
+        while a < len(texts):  # some words at a time: what leads to their ids is many times larger
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + RUN_WORDS, "right")) - 1)
+            run = index[offsets[a] : offsets[b]]
+            lens = self.lens[run]
+            flat = self.flat[ragged(self.starts[run], lens)]
+            sums = np.concatenate([[0], np.cumsum(lens)])[offsets[a : b + 1] - offsets[a]].tolist()
+            for k in range(a, b):
+                yield np.array(self._library([texts[k].as_py()])[0], np.uint32) if k in special else flat[sums[k - a] : sums[k - a + 1]]
+            a = b
 
 
 def encoder(path: str) -> Encoder:
