@@ -336,3 +336,26 @@ def test_recall_just_above_the_threshold_of_20000_vectors(spark):
 
 def test_no_embeddings(spark):
     assert embeddings.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_seeds_are_chosen_once_for_the_pieces(monkeypatch, hot):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), 3000)) for _ in range(20)]
+    texts = [t + texts[k // 2][:900] for k, t in enumerate(texts)]
+    bundle = blocks.pack_rows(pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(20))], ["text", "c0"]), np.zeros(20, np.int64), 1)
+    seeds, n = substrings._seed_counts(bundle, 200, 4096)
+    answer = (n > 1).astype(np.uint8)
+    if hot:
+        answer[np.flatnonzero(n > 1)[:1]] = 2
+    found = pa.table({"bucket": [0], "answer": pa.array([blocks.frame(len(n), blocks.put_numbers(answer))], pa.binary())})
+    made, chunk = [], substrings._Chunk
+    monkeypatch.setattr(substrings, "_Chunk", lambda *a: made.append(a[0]) or chunk(*a))
+    pieces, places = substrings._pieces(bundle, found, 200, 4096)
+    assert len(made) <= len(set(made)) * (1 + hot) and len(set(made)) > 10
+    whole = "".join(texts).encode()
+    assert all(whole[p : p + len(t)] == t for t, at in zip(pieces.texts, places) for p in at)
+    covered = {p + k for t, at in zip(pieces.texts, places) for p in at for k in range(len(t) - 199)}
+    starts = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    base = np.cumsum([0, *map(len, texts)])
+    assert all(int(b) + k in covered for b, t in zip(base, texts) for k in range(len(t) - 199) if starts[t[k : k + 200]] > 1)

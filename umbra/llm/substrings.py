@@ -37,8 +37,8 @@ SEED = 32
 HOT = 20_000
 #: Bytes of documents packed together.
 BUNDLE = 4 << 20
-#: Bytes of text whose seeds are chosen at a time, and bytes of pieces that are sorted at a time (more for one seed's).
-CHUNK, SORTED = 1 << 20, 2 << 20
+#: Bytes of text whose seeds are chosen at a time, so few that eight bytes for each stay in a core's cache, and bytes of pieces that are sorted at a time (more for one seed's).
+CHUNK, SORTED = 1 << 16, 2 << 20
 _PLACE = np.uint64(21)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,11 +114,21 @@ def _chunks(bundle: pa.Table | pa.RecordBatch, length: int, chunk: int) -> Itera
         base += len(data)
 
 
+def _runs(chunk: _Chunk) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """base, data, begins, sizes and keys of a chunk: without its hashes, which take 17 times its bytes."""
+    return chunk.base, chunk.data, chunk.begins, chunk.sizes, chunk.keys
+
+
 def _seed_counts(bundle: pa.Table | pa.RecordBatch, length: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     found = [c.keys for c in _chunks(bundle, length, chunk)]
     return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
 
 
+def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some, which ascend."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
 class Pieces:
     """Distinct pieces (key, text), ascending, and in how many places each stands."""
 
@@ -230,23 +240,24 @@ def _pieces(bundle: pa.Table, found: pa.Table, length: int, chunk: int) -> tuple
     """A bundle's pieces whose seeds are repeated, and the places of each."""
     if not found.num_rows:
         return Pieces(np.zeros(0, np.uint64), [], np.zeros(0, np.int64)), []
-    seeds = _seed_counts(bundle, length, chunk)[0]
+    runs = [_runs(c) for c in _chunks(bundle, length, chunk)]
+    seeds = np.unique(np.concatenate([keys for *_, keys in runs]) if runs else np.zeros(0, np.uint64))
     answer = answers_in_order(found, _seed_kind(0))
     wanted, hot = seeds[answer > 0], seeds[answer > 1]
+    again = _chunks(bundle, length, chunk) if len(hot) else None
     places: dict[tuple[int, bytes], list[int]] = {}
-    for c in _chunks(bundle, length, chunk):
-        if not len(wanted) or not len(c.keys):
-            continue
-        where = np.minimum(np.searchsorted(wanted, c.keys), len(wanted) - 1)
-        keep = wanted[where] == c.keys
-        if len(hot):
+    for base, raw, begins, sizes, keys in runs:
+        c = next(again) if again else None
+        keep = _within(keys, wanted)
+        if c and _within(keys, hot).any():
             within = np.zeros(len(c.at), bool)
-            within[ragged(c.begins[keep], c.sizes[keep])] = True
+            within[ragged(begins[keep], sizes[keep])] = True
             c.split(hot)
-            keep = within[c.begins]
-        data = c.data.tobytes()
-        for k, a, m in zip(c.keys[keep].tolist(), c.begins[keep].tolist(), c.sizes[keep].tolist()):
-            places.setdefault((k, data[a : a + m + length - 1]), []).append(c.base + a)
+            begins, sizes, keys = c.begins, c.sizes, c.keys
+            keep = within[begins]
+        data = raw.tobytes()
+        for k, a, m in zip(keys[keep].tolist(), begins[keep].tolist(), sizes[keep].tolist()):
+            places.setdefault((k, data[a : a + m + length - 1]), []).append(base + a)
     order = sorted(places)
     return Pieces(np.array([k for k, _ in order], np.uint64), [t for _, t in order], np.array([len(places[x]) for x in order], np.int64)), [places[x] for x in order]
 
