@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -359,3 +360,47 @@ def test_seeds_are_chosen_once_for_the_pieces(monkeypatch, hot):
     starts = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
     base = np.cumsum([0, *map(len, texts)])
     assert all(int(b) + k in covered for b, t in zip(base, texts) for k in range(len(t) - 199) if starts[t[k : k + 200]] > 1)
+
+
+def one_bundle(texts):
+    """A bundle of texts, and what the corpus, which is it alone, answers about its seeds."""
+    table = blocks.pack_rows(pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "c0"]), np.zeros(len(texts), np.int64), 1)
+    _, n = substrings._seed_counts(table, 200, substrings.CHUNK)
+    return table, pa.table({"bucket": [0], "answer": pa.array([blocks.frame(len(n), blocks.put_numbers((n > 1).astype(np.uint8)))], pa.binary())})
+
+
+def test_places_of_one_repeated_character_take_little_memory():
+    """Each byte of such a text is a place of the same piece: 44 bytes of Python memory a place once, beside what cutting takes."""
+    size = 1 << 20
+    table, found = one_bundle(["x" * size])
+    tracemalloc.start()
+    try:
+        pieces, places = substrings._pieces(table, found, 200, substrings.CHUNK)
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert pieces.counts.tolist() == [size - 199] and list(places[0]) == list(range(size - 199))
+    assert held < 16 * size
+
+
+@pytest.mark.parametrize("marked", [1, 7, 1 << 17])
+def test_bytes_covered_are_marked_in_slices(monkeypatch, marked):
+    monkeypatch.setattr(substrings, "MARKED", marked)
+    texts = [t for t in awkward_texts() if t]
+    table, found = one_bundle(texts)
+    pieces, places = substrings._pieces(table, found, 200, substrings.CHUNK)
+    kind = substrings._piece_kind(200)
+    rows = blocks.asked_rows(kind, pieces, 0, 0, 0, 4, lambda a, b: substrings._own_places(places[a:b]))
+    answers = []
+    for data in rows["data"].to_pylist():
+        things = kind.merge([data])
+        answers.append(kind.pick(things, kind.solve(things), data))
+    gone = substrings._covered(int(table["size"][0].as_py()), rows["own"].to_pylist(), answers, 200)
+    starts = Counter(b[k : k + 200] for b in map(str.encode, texts) for k in range(len(b) - 199))
+    want = []
+    for b in map(str.encode, texts):
+        mask = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            mask[k : k + 200] |= starts[b[k : k + 200]] > 1
+        want.append(mask)
+    assert gone.any() and (gone == np.concatenate(want)).all()
