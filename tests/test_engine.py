@@ -12,6 +12,7 @@ from umbra.operators import converters, images
 from umbra.operators.converters import Page
 from umbra.operators.providers import RemoteDetector, RuleDetector
 from umbra.plans.planning import Provider, listing_totals
+from umbra.queries import ORACLE_SQL, QUERIES
 from umbra.sources import inventory, sinks
 from umbra.sources.archive import read_zip
 from umbra.sources.connection import connect
@@ -75,6 +76,29 @@ def test_listing(spark, tree):
     assert "LessThanOrEqual(length,10)" in plan and "content" not in plan.split("ReadSchema")[1]
 
 
+def test_empty_files_are_files(spark, tree):
+    (tree / "none.txt").write_text(""), (tree / "sub" / "odd; isDirectory=false; length=7; .md").write_text("")
+    want = {("none.txt", "text/plain", 0), ("sub/odd; isDirectory=false; length=7; .md", "text/markdown", 0)}
+    got = inventory.scan(spark, f"{tree}/", content=True)
+    assert {tuple(r)[:3] for r in got.filter("content = X''").collect()} == want and got.count() == 7
+    assert {tuple(r) for r in inventory.scan(spark, f"{tree}/").filter("file_size = 0").collect()} == want
+    assert inventory.scan(spark, f"{tree}/none.txt").first()["relative_path"] == "none.txt"
+
+
+def test_file_round_trip_of_an_empty_document(spark, sf, tmp_path, same_as_sql, duck):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    said = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("text"))
+    docs.withColumn("text", said).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = ORACLE_SQL["file_round_trip"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")
+    same_as_sql(QUERIES["file_round_trip"](spark, str(tmp_path)), sql)
+
+
+def test_what_a_failed_write_leaves_is_not_a_file(spark, tree):
+    with pytest.raises(OSError):
+        sinks.put(f"{tree}/sub", b"x")  # a folder is in its place
+    assert len(list(tree.rglob("*.part"))) == 1 and inventory.scan(spark, f"{tree}/").count() == 5
+
+
 def test_schemes():
     assert inventory.resolve("s3://b/k") == ("s3a", "s3a://b/k") and inventory.resolve("gs://b") == ("gs", "gs://b/") and inventory.resolve("x/y") == ("file", "x/y")
     for bad in ("ftp://x", "s3://bucket"):
