@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ def test_ocr_words(spark):
     assert words(spark, " a b") == [" a", "b"]
 
 
+def test_gone_words_of_long_pages(spark):
+    """All of 30,000 words gone, and a few of them: a look-up a pair of words would take far longer."""
+    said = [f"w{k % 20_000}" for k in range(30_000)]
+    pages = spark.createDataFrame([(1, " ".join(said), "nothing stays"), (2, " ".join(said), " ".join(w for w in said if w not in ("w7", "w19999"))), (3, "a b a", "a b a"), (4, "é a é", "a"), (5, "a", None)], "page int, said string, redacted string").repartition(1)
+    zero = F.lit(0).cast("float")
+    boxes = F.transform(F.split("said", " "), lambda w: F.struct(*[zero.alias(c) for c in ("x1", "y1", "x2", "y2")], w.alias("text")))
+    began = time.monotonic()
+    got = {r[0]: r[1] for r in pages.select("page", images.gone_words(boxes, F.col("redacted"))["text"]).collect()}
+    assert got == {1: said, 2: [w for w in said if w in ("w7", "w19999")], 3: [], 4: ["é", "é"], 5: []}
+    assert time.monotonic() - began < 60
+
+
 def test_gone_words(spark):
     rows = [([(0.0, 0.0, 1.0, 1.0, w) for w in ("call", "John", "now")] + [(0.0, 0.0, 1.0, 1.0, None)],)]
     df = spark.createDataFrame(rows, f"b array<{images.BOX}>")

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.detect import let
+
 BOX = "struct<x1:float,y1:float,x2:float,y2:float,text:string>"
 #: Margin by which a box grows, as a share of its coordinates.
 MARGINS = {"open-ai-llm": 0.25, "gemini-llm": 0.25, "gcp-vertex-ai": 0.20, "ocr": 0.10}
@@ -120,11 +122,27 @@ def ocr_words(chars: DataFrame, page: Sequence[str] = ("page",), drop_last: bool
     return grouped
 
 
+def _among(steps: Column, ordered: Column, word: Column) -> Column:
+    """Whether word is in a sorted array, by halving; steps: powers of two below its size, falling."""
+    at = F.aggregate(steps, F.lit(0), lambda lo, p: F.when((lo + p < F.size(ordered)) & (F.get(ordered, lo + p) <= word), lo + p).otherwise(lo))
+    return F.get(ordered, at) == word
+
+
 def gone_words(words: Column, redacted: Column) -> Column:
     """Of an array of boxes (BOX) those whose text is no longer among the blank-separated words of redacted.
-    A word that stands anywhere in redacted shields all its boxes; boxes without text stay as they are."""
-    kept = F.split(redacted, " ")
-    return F.filter(words, lambda b: b["text"].isNotNull() & ~F.array_contains(kept, b["text"]))
+    A word that stands anywhere in redacted shields all its boxes; boxes without text stay as they are.
+
+    The words that are gone are found by hash and sorted, once a page, and each box looks its own up by halving: a page
+    takes n log n steps, however many of its words are gone.
+    """
+    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def of(boxes: Column) -> Column:
+        said = F.transform(F.filter(boxes, lambda b: b["text"].isNotNull()), lambda b: b["text"])
+        gone = F.sort_array(F.array_except(said, F.split(redacted, " ")))
+        return let(gone, lambda g: let(F.filter(powers, lambda p: p < F.size(g)), lambda steps: F.filter(boxes, lambda b: b["text"].isNotNull() & _among(steps, g, b["text"]))))
+
+    return let(words, of)
 
 
 def ocr_text(words: Column) -> Column:

@@ -478,8 +478,8 @@ def ocr_diff_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("float")
     boxes = F.transform(F.split("text", " "), lambda w: F.struct(zero.alias("x1"), zero.alias("y1"), zero.alias("x2"), zero.alias("y2"), w.alias("text")))
     redacted = detect.replace(F.col("text"), [EMAIL, IP, CARD])
-    # an unchanged text loses no word: the quadratic look-up is spared
-    gone = F.when(redacted == F.col("text"), 0).otherwise(F.size(images.gone_words(boxes, redacted)))
+    # an unchanged text loses no word: the look-up is spared
+    gone = detect.let(redacted, lambda r: F.when(r == F.col("text"), 0).otherwise(F.size(images.gone_words(boxes, r))))
     return texts(spark, sf_dir).select("doc_id", gone.cast("bigint").alias("gone"))
 
 
