@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from umbra.queries import ORACLE_SQL, QUERIES
 from umbra.sources import inventory, sinks
 from umbra.sources.archive import read_zip
 from umbra.sources.connection import connect
-from umbra.sources.tables import parse_csv, serialize_csv
+from umbra.sources.tables import parse_csv, pieces, serialize_csv
 
 
 @pytest.fixture
@@ -121,6 +122,12 @@ def test_remote_failures_are_data(spark, tree, tmp_path):
     assert (tmp_path / "o" / "a.txt").read_text() == "MAIL A@B.ORG" and (tmp_path / "o" / "sub" / "t.csv").read_text().startswith("NAME")
 
 
+def test_batches_of_tables_are_cut():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([b"x" * 1000] * 4999 + [b"y" * (3 << 20)])], ["n", "content"])
+    cut = list(pieces([batch]))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and all(b.nbytes <= 2 << 20 or b.num_rows == 1 for b in cut)
+
+
 def test_csv():
     assert parse_csv("a;b\n1;'x'\n", ";") == (["a", "b"], [["1", "'x'"]])
     assert parse_csv('1,"a,b"\n', header=False) == ([], [["1", "a,b"]])
