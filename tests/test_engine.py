@@ -15,7 +15,7 @@ from umbra.operators.providers import RemoteDetector, RuleDetector
 from umbra.plans.planning import Provider, listing_totals
 from umbra.queries import ORACLE_SQL, QUERIES
 from umbra.sources import inventory, sinks
-from umbra.sources.archive import read_zip
+from umbra.sources.archive import read_zip, write_zip
 from umbra.sources.connection import connect
 from umbra.sources.tables import parse_csv, pieces, serialize_csv
 
@@ -68,6 +68,15 @@ def test_zip_both_ways(spark, tree, tmp_path):
         copy(spark, f"{tree}/", f"zip://{target}")
 
 
+def test_zip_is_packed_by_tasks(spark, tmp_path, monkeypatch):
+    made = spark.range(0, 400, 1, 4).select(F.concat(F.lit("d/"), "id", F.lit(".txt")).alias("relative_path"), F.encode(F.repeat(F.col("id").cast("string"), 50), "UTF-8").alias("content"), F.when(F.col("id") % 10 == 0, "Skipped").otherwise("Copied").alias("outcome"))
+    monkeypatch.setattr(type(made), "toLocalIterator", None)  # no content comes to the driver
+    assert sorted(write_zip(made, f"{tmp_path}/p.zip")) == ["Copied"] * 360 + ["Skipped"] * 40
+    with zipfile.ZipFile(tmp_path / "p.zip") as z:
+        assert z.testzip() is None and z.namelist() == sorted(f"d/{k}.txt" for k in range(400) if k % 10)
+        assert all(z.read(n) == n[2:-4].encode() * 50 for n in z.namelist())
+
+
 def test_listing(spark, tree):
     files = listing(spark, f"{tree}/", name_glob="sub/*.csv")
     assert [r["relative_path"] for r in files.filter("verdict = 'Matched'").collect()] == ["sub/t.csv"]
